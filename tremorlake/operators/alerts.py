@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alert_text, clip_text
 from ..functions.times import origin_label, origin_label_corrected
-from .blocks import running
+from ..session import stored
 
 # Stations in rising priority, the station whose missing pick resets the panel, the countdown start.
 PRIORITY = ("GMJI", "PWJI", "JAGI")
@@ -46,26 +46,50 @@ def tick_states(latest: DataFrame, stations: Sequence[str] = PRIORITY, rule: str
 
 
 def timeline(ticks: DataFrame, block: int = TICK_BLOCK) -> DataFrame:
-    """Adds ``detected`` (an alert starts at this tick), ``found`` (one is shown after it) and ``since`` (its start).
+    """Adds ``found_before``, ``detected`` (an alert starts), ``found`` (one is shown after it) and ``since`` (its start).
 
     A tick looks at what was shown before it. Shown and reset: nothing is shown. Not shown and a station detects: an
     alert starts, even at a reset. Else the state stays. So a tick with reset and detection flips the state, one with
     only a reset or only a detection sets it, and the state before a tick is the last set value, flipped once per
-    flipping tick since.
+    flipping tick since. Each block of ticks is worked out for both states it may start in; the blocks' effects, one
+    row each, then say which one holds.
     """
+    by = ["mseed_name", "_blk"]
     detects = F.col("station").isNotNull()
-    flips = detects & F.col("reset")
-    sets = detects != F.col("reset")
-    by = F.floor(F.col("tick") / F.lit(block))
-    rows = running(ticks, ["mseed_name"], "tick", by, {"_flips": (flips.cast("bigint"), "sum")})
+    flip = (detects & F.col("reset")).cast("bigint")
+    order = Window.partitionBy(*by).orderBy("tick")
+    upto, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = ticks.withColumn("_blk", F.floor(F.col("tick") / F.lit(block))).withColumn("_flips", F.sum(flip).over(upto))
+    # Tick and value in one number, so that the last one is the largest.
     value = (detects.cast("bigint") + F.col("_flips")) % 2
-    rows = running(rows, ["mseed_name"], "tick", by, {"_set": (F.when(sets, F.col("tick") * 2 + value), "max")},
-                   inclusive=False)
-    before = (F.coalesce(F.col("_set") % 2, F.lit(0)) + F.col("_flips") - flips.cast("bigint")) % 2
-    rows = rows.withColumn("found_before", before == 1)
-    rows = rows.withColumn("detected", detects & ~F.col("found_before"))
-    rows = rows.withColumn("found", F.col("detected") | (F.col("found_before") & ~F.col("reset")))
-    return rows.drop("_flips", "_set")
+    rows = rows.withColumn("_set", F.when(detects != F.col("reset"), F.col("tick") * 2 + value))
+    rows = rows.withColumn("_held", F.max("_set").over(ahead))
+    for start in (0, 1):
+        before = (F.coalesce(F.col("_held") % 2, F.lit(start)) + F.col("_flips") - flip) % 2
+        rows = rows.withColumn(f"_before{start}", before)
+        rows = rows.withColumn(f"_since{start}", F.max(F.when(detects & (before == 0), F.col("tick"))).over(upto))
+    rows = stored(rows, "ticks")
+
+    effects = rows.groupBy(*by).agg(
+        F.max("_flips").alias("_flips"), F.max("_set").alias("_set"), F.max("_since0").alias("_since0"),
+        F.max("_since1").alias("_since1"))
+    blocks = Window.partitionBy("mseed_name").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    effects = effects.withColumn("_turns", F.coalesce(F.sum("_flips").over(blocks), F.lit(0)))
+    value = (F.col("_set") + F.col("_turns")) % 2
+    last = F.max(F.floor(F.col("_set") / 2) * 2 + value).over(blocks)
+    effects = effects.withColumn("_start", (F.coalesce(last % 2, F.lit(0)) + F.col("_turns")) % 2)
+    own = F.when(F.col("_start") == 0, F.col("_since0")).otherwise(F.col("_since1"))
+    effects = effects.select(*by, "_start", F.max(own).over(blocks).alias("_since"))
+
+    def chosen(name: str) -> Column:
+        return F.when(F.col("_start") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+
+    rows = rows.join(effects, by).withColumn("found_before", chosen("_before") == 1)
+    detected = detects & ~F.col("found_before")
+    found = detected | (F.col("found_before") & ~F.col("reset"))
+    since = F.greatest(chosen("_since"), F.col("_since"))
+    return rows.select(*ticks.columns, "found_before", detected.alias("detected"), found.alias("found"),
+                       F.when(found, since).alias("since"))
 
 
 def first_detections(ticks: DataFrame) -> DataFrame:
@@ -75,11 +99,8 @@ def first_detections(ticks: DataFrame) -> DataFrame:
 
 def countdown(ticks: DataFrame, seconds: int = COUNTDOWN_SECONDS) -> DataFrame:
     """Seconds left at every tick with an alert: one less per second since it started, never below 0."""
-    shown = timeline(ticks)
-    start = F.when(F.col("detected"), F.col("tick"))
-    shown = running(shown, ["mseed_name"], "tick", F.floor(F.col("tick") / F.lit(TICK_BLOCK)), {"since": (start, "max")})
     left = F.greatest(F.lit(seconds) - (F.col("tick") - F.col("since")), F.lit(0))
-    return shown.where("found").select("mseed_name", "tick", "since", left.alias("countdown"))
+    return timeline(ticks).where("found").select("mseed_name", "tick", "since", left.alias("countdown"))
 
 
 def alert_panel(detections: DataFrame, corrected_hour: bool = False) -> DataFrame:

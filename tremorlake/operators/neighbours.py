@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import great_circle_km, unit_vector
-from ..session import shared_path
+from ..session import stored
 
 K = 3
 LEAF_POSITIONS = 16
 MAX_LEVEL = 40
 # Levels up to this one have at most 8 ** 4 cells, so they are small enough to broadcast whatever the station count.
 BROADCAST_LEVEL = 4
-STORE_EVERY = 4
+STORE_EVERY = 3
+LEVELS_AT_ONCE = 8
 DISTANCE_DECIMALS = 6
 # Slack on chord lengths for floating point, far above its error and far below a metre.
 _SLACK = 1e-9
@@ -28,17 +29,10 @@ _CELL = ["cvx", "cvy", "cvz"]
 _AXES = ("vx", "vy", "vz")
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """Write the table to the shared folder and read it back, so that each level starts from stored rows."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def _cell(level: int) -> list[Column]:
-    cells = 1 << level
-    along = [F.floor((F.col(a) + 1.0) / 2.0 * float(cells)).cast("bigint") for a in ("vx", "vy", "vz")]
-    return [F.least(c, F.lit(cells - 1)).alias(n) for c, n in zip(along, _CELL)]
+def _cell(level: Column) -> list[Column]:
+    """The cell of a position at a level: each axis cut into 2 ** level equal parts."""
+    cells = F.pow(F.lit(2.0), level)
+    return [F.least(F.floor((F.col(a) + 1.0) / 2.0 * cells), cells - 1).cast("bigint").alias(n) for a, n in zip(_AXES, _CELL)]
 
 
 def positions(stations: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
@@ -51,27 +45,34 @@ def positions(stations: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
     return places, names
 
 
-def _levels(places: DataFrame, leaf: int) -> tuple[list[DataFrame], DataFrame]:
-    """Cells per level with count and bounding box, and the positions by the cell that is not split further.
+def _cells(places: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame, int]:
+    """The tree of cells with count and bounding box, the positions by leaf cell, and the depth of the tree.
 
-    A level lists only the children of split cells.
+    A cell with more than ``leaf`` positions is split. Levels are made a few at a time in one aggregation; further
+    ones only for the positions whose cell is still to be split.
     """
     box = [f(F.col(a)).alias(f"{n}_{a}") for a in _AXES for n, f in (("lo", F.min), ("hi", F.max))]
-    levels, leaves, rest = [], None, places
-    for level in range(MAX_LEVEL + 1):
-        at = rest.select("*", *_cell(level))
-        split = (F.col("n") > leaf) & F.lit(level < MAX_LEVEL)
-        cells = at.groupBy(*_CELL).agg(F.count("*").alias("n"), *box)
-        cells = _stored(cells.select("*", split.alias("split"), F.lit(level).alias("level")), f"cells{level}")
-        levels.append(cells)
-        settled = at.join(cells.where(~F.col("split")).select("level", *_CELL), _CELL)
+    tree, leaves, rest, top = None, None, places, 0
+    while True:
+        last = min(top + LEVELS_AT_ONCE, MAX_LEVEL + 1) - 1
+        at = rest.withColumn("level", F.explode(F.sequence(F.lit(top), F.lit(last)))).select("*", *_cell(F.col("level")))
+        cells = at.groupBy("level", *_CELL).agg(F.count("*").alias("n"), *box)
+        parent = Window.partitionBy("level", *[F.shiftright(F.col(c), 1) for c in _CELL])
+        # The positions of the cells of one parent add up to the parent's.
+        grown = cells.withColumn("_parent_n", F.sum("n").over(parent)).where(
+            (F.col("_parent_n") > leaf) | (F.col("level") == top)).drop("_parent_n")
+        split = (F.col("n") > leaf) & (F.col("level") < MAX_LEVEL)
+        grown = stored(grown.withColumn("split", split), "cells")
+        settled = at.join(grown.where(~F.col("split")).select("level", *_CELL), ["level", *_CELL])
         settled = settled.select("level", *_CELL, "x", "y")
+        tree = grown if tree is None else tree.unionByName(grown)
         leaves = settled if leaves is None else leaves.unionByName(settled)
-        open_cells = cells.where("split").select(*_CELL)
-        if open_cells.isEmpty():
-            break
-        rest = at.join(open_cells, _CELL, "left_semi").drop(*_CELL)
-    return levels, leaves
+        deepest = grown.where("split").agg(F.max("level")).first()[0]
+        if deepest is None or deepest < last:
+            return tree, leaves, top if deepest is None else deepest + 1
+        open_cells = grown.where(F.col("split") & (F.col("level") == last)).select("level", *_CELL)
+        rest = at.where(F.col("level") == last).join(open_cells, ["level", *_CELL], "left_semi").drop("level", *_CELL)
+        top = last + 1
 
 
 def _within_reach(rows: DataFrame, k: int) -> DataFrame:
@@ -96,14 +97,12 @@ def _within_reach(rows: DataFrame, k: int) -> DataFrame:
 
 def candidate_positions(places: DataFrame, k: int = K, leaf: int = LEAF_POSITIONS) -> DataFrame:
     """(px, py, x, y): for each position, a small superset of itself and its k nearest other positions."""
-    levels, leaves = _levels(places, leaf)
-    root = levels[0].select("level", *_CELL, "split")
+    tree, leaves, depth = _cells(places, leaf)
     frontier = places.select(*[F.col(c).alias(f"p{c}") for c in ("x", "y", *_AXES)],
                              *[F.lit(0).cast("bigint").alias(c) for c in _CELL])
-    frontier = frontier.join(F.broadcast(root), _CELL)
-    for level, cells in enumerate(levels[1:], start=1):
-        parent = [F.shiftright(F.col(c), 1).alias(f"u{c}") for c in _CELL]
-        children = cells.select("*", *parent)
+    frontier = frontier.join(F.broadcast(tree.where(F.col("level") == 0)), _CELL)
+    for level in range(1, depth + 1):
+        children = tree.where(F.col("level") == level).select("*", *[F.shiftright(F.col(c), 1).alias(f"u{c}") for c in _CELL])
         if level <= BROADCAST_LEVEL:
             children = F.broadcast(children)
         opened = frontier.where("split").select("px", "py", *[f"p{a}" for a in _AXES],
@@ -111,8 +110,8 @@ def candidate_positions(places: DataFrame, k: int = K, leaf: int = LEAF_POSITION
         opened = opened.join(children, [f"u{c}" for c in _CELL]).drop(*[f"u{c}" for c in _CELL])
         settled = frontier.where(~F.col("split"))
         frontier = _within_reach(opened if level == 1 else opened.unionByName(settled), k)
-        if level % STORE_EVERY == 0:
-            frontier = _stored(frontier, f"frontier{level}")
+        if level < depth and level % STORE_EVERY == 0:
+            frontier = stored(frontier, "frontier")
     return frontier.select("px", "py", "level", *_CELL).join(leaves, ["level", *_CELL]).select("px", "py", "x", "y")
 
 

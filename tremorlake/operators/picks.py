@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .blocks import prefix_over_blocks
 
 # Window lengths in seconds and trigger thresholds.
@@ -79,7 +80,8 @@ def trigger_intervals(ratios: DataFrame, keys: Sequence[str], on: float = TRIGGE
     """(keys, on_idx, off_idx): from the first ratio above ``on`` to the last one before it falls to ``off`` or below.
 
     An interval lies in a run of ratios above ``off``. Runs are named by the break before them; a run that crosses
-    blocks takes the name from an earlier block. Works on the output of :func:`sta_lta` without another sample shuffle.
+    blocks takes the name from an earlier block. Works on the output of :func:`sta_lta` without another sample shuffle;
+    the runs, far fewer than the samples, are stored before the blocks are put together.
     """
     keys = list(keys)
     order = Window.partitionBy(*keys, "_blk").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -89,12 +91,15 @@ def trigger_intervals(ratios: DataFrame, keys: Sequence[str], on: float = TRIGGE
         F.min(F.when(F.col("ratio") > on, F.col("idx"))).alias("on_idx"),
         F.max(F.when(F.col("ratio") > off, F.col("idx"))).alias("off_idx"),
         F.max("idx").alias("_end"))
-    breaks = runs.groupBy(*keys, "_blk").agg(F.max("_break").alias("_break"), F.max("_end").alias("_blk_end"))
-    carried = prefix_over_blocks(breaks, keys, {"_carried": ("_break", "max")})
-    # A run inside one block matters only if it switched on; the others may continue in a neighbouring block.
-    open_runs = runs.join(breaks.select(*keys, "_blk", "_blk_end"), [*keys, "_blk"]).where(
-        F.col("on_idx").isNotNull() | F.col("_break").isNull() | (F.col("off_idx") == F.col("_blk_end")))
-    named = open_runs.join(carried, [*keys, "_blk"]).withColumn(
+    in_block = Window.partitionBy(*keys, "_blk")
+    runs = runs.withColumn("_last_break", F.max("_break").over(in_block)).withColumn("_blk_end", F.max("_end").over(in_block))
+    # Keep what can matter: runs that switched on, runs at either border of the block, and the last break.
+    matters = (F.col("on_idx").isNotNull() | F.col("_break").isNull() | (F.col("off_idx") == F.col("_blk_end"))
+               | (F.col("_break") == F.col("_last_break")))
+    runs = stored(runs.where(matters).drop("_end", "_blk_end"), "runs")
+    breaks = runs.groupBy(*keys, "_blk").agg(F.max("_last_break").alias("_last_break"))
+    carried = prefix_over_blocks(breaks, keys, {"_carried": ("_last_break", "max")})
+    named = runs.join(carried, [*keys, "_blk"]).withColumn(
         "_run", F.coalesce("_break", "_carried", F.lit(-1)))
     whole = named.groupBy(*keys, "_run").agg(F.min("on_idx").alias("on_idx"), F.max("off_idx").alias("off_idx"))
     return whole.where(F.col("on_idx").isNotNull()).drop("_run")

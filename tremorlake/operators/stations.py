@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .blocks import running
 from .neighbours import K, with_closest
 
@@ -62,6 +63,6 @@ def fold_changes(stations: DataFrame, judged: DataFrame) -> DataFrame:
 
 def apply_station_changes(stations: DataFrame, changes: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(snapshot with neighbours, rejected changes) after inserts, updates and deletes in ``seq`` order."""
-    judged = judge_changes(stations, changes)
-    snapshot = with_closest(fold_changes(stations, judged), k)
+    judged = stored(judge_changes(stations, changes), "judged")
+    snapshot = with_closest(stored(fold_changes(stations, judged), "stations"), k)
     return snapshot, judged.where(~F.col("accepted"))

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tremorlake", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -70,3 +70,13 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder, for one run's table or streaming checkpoint."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write the table to the shared folder and read it back.
+
+    For small tables that several branches of a plan use: they are computed once and survive the loss of executors.
+    """
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
