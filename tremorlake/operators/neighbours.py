@@ -16,11 +16,11 @@ from ..functions.geo import great_circle_km, unit_vector
 from ..session import stored
 
 K = 3
-LEAF_POSITIONS = 16
+LEAF_POSITIONS = 32
 MAX_LEVEL = 40
 # Levels up to this one have at most 8 ** 4 cells, so they are small enough to broadcast whatever the station count.
 BROADCAST_LEVEL = 4
-STORE_EVERY = 3
+STORE_EVERY = 6
 LEVELS_AT_ONCE = 8
 DISTANCE_DECIMALS = 6
 # Slack on chord lengths for floating point, far above its error and far below a metre.
@@ -39,7 +39,7 @@ def positions(stations: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
     """The distinct positions, and for each its k + 1 smallest names (more can never be shown)."""
     rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("name"))
     names = stations.select("name", "x", "y").withColumn("_r", rank).where(F.col("_r") <= k + 1)
-    names = names.groupBy("x", "y").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    names = stored(names.groupBy("x", "y").agg(F.sort_array(F.collect_list("name")).alias("names")), "positions")
     vx, vy, vz = unit_vector("x", "y")
     places = names.select("x", "y", vx.alias("vx"), vy.alias("vy"), vz.alias("vz"))
     return places, names
@@ -99,17 +99,20 @@ def candidate_positions(places: DataFrame, k: int = K, leaf: int = LEAF_POSITION
     """(px, py, x, y): for each position, a small superset of itself and its k nearest other positions."""
     tree, leaves, depth = _cells(places, leaf)
     frontier = places.select(*[F.col(c).alias(f"p{c}") for c in ("x", "y", *_AXES)],
-                             *[F.lit(0).cast("bigint").alias(c) for c in _CELL])
+                             *_cell(F.lit(0)))
+    # Level 0 is one cell.
     frontier = frontier.join(F.broadcast(tree.where(F.col("level") == 0)), _CELL)
+    node = ["n", *[f"{e}_{a}" for a in _AXES for e in ("lo", "hi")], "split", "level", *_CELL]
     for level in range(1, depth + 1):
-        children = tree.where(F.col("level") == level).select("*", *[F.shiftright(F.col(c), 1).alias(f"u{c}") for c in _CELL])
+        # A cell that is not split has no children and stays; one join serves both.
+        children = tree.where(F.col("level") == level).select(
+            F.lit(level - 1).alias("level"), *[F.shiftright(F.col(c), 1).alias(c) for c in _CELL], F.struct(*node).alias("child"))
         if level <= BROADCAST_LEVEL:
             children = F.broadcast(children)
-        opened = frontier.where("split").select("px", "py", *[f"p{a}" for a in _AXES],
-                                                *[F.col(c).alias(f"u{c}") for c in _CELL])
-        opened = opened.join(children, [f"u{c}" for c in _CELL]).drop(*[f"u{c}" for c in _CELL])
-        settled = frontier.where(~F.col("split"))
-        frontier = _within_reach(opened if level == 1 else opened.unionByName(settled), k)
+        opened = frontier.join(children, ["level", *_CELL], "left")
+        opened = opened.select("px", "py", *[f"p{a}" for a in _AXES],
+                               *[F.coalesce(F.col("child")[c], F.col(c)).alias(c) for c in node])
+        frontier = _within_reach(opened, k)
         if level < depth and level % STORE_EVERY == 0:
             frontier = stored(frontier, "frontier")
     return frontier.select("px", "py", "level", *_CELL).join(leaves, ["level", *_CELL]).select("px", "py", "x", "y")
@@ -119,12 +122,13 @@ def nearest(stations: DataFrame, k: int = K, leaf: int = LEAF_POSITIONS) -> Data
     """(name, neighbours): up to k (name, km) per station, nearest first."""
     places, names = positions(stations, k)
     near = candidate_positions(places, k, leaf)
-    km = F.round(great_circle_km(F.col("px"), F.col("py"), F.col("x"), F.col("y")), DISTANCE_DECIMALS)
+    km = great_circle_km(F.col("px"), F.col("py"), F.col("x"), F.col("y"))
     named = near.join(names, ["x", "y"]).select("px", "py", km.alias("km"), F.explode("names").alias("name"))
-    rank = F.row_number().over(Window.partitionBy("px", "py").orderBy("km", "name"))
+    named = named.withColumn("by", F.round("km", DISTANCE_DECIMALS))
+    rank = F.row_number().over(Window.partitionBy("px", "py").orderBy("by", "name"))
     top = named.withColumn("_r", rank).where(F.col("_r") <= k + 1)
     top = top.groupBy(F.col("px").alias("x"), F.col("py").alias("y")).agg(
-        F.array_sort(F.collect_list(F.struct("km", "name"))).alias("_top"))
+        F.array_sort(F.collect_list(F.struct("by", "name", "km"))).alias("_top"))
     own = stations.select("name", "x", "y").join(top, ["x", "y"])
     others = F.slice(F.filter("_top", lambda t: t["name"] != F.col("name")), 1, k)
     return own.select("name", F.transform(others, lambda t: F.struct(t["name"].alias("name"), t["km"].alias("km"))).alias("neighbours"))
