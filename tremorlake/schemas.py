@@ -10,6 +10,8 @@ TRACE = (
     "data ARRAY<DOUBLE>"
 )
 
+BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
 # One decoded waveform record; a trace is a run of adjoining records.
 WAVE_RECORD = (
     "file STRING, record_no BIGINT, network STRING, station STRING, location STRING, channel STRING, "

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import TARGET_RATE_HZ
 from ..operators import dsp
-from ..schemas import TRACE, WAVE_RECORD
+from ..schemas import BINARY_FILE, TRACE, WAVE_RECORD
 
 RECORD_BATCH = 2048
 # Fixed values of the record format: plain sample encodings by code.
@@ -102,7 +102,7 @@ def _records(path: str, content: bytes) -> Iterator[dict]:
         try:
             length, fields = _record(content, at)
         except (struct.error, ValueError, KeyError, IndexError, OverflowError) as e:
-            yield {"file": path, "record_no": number, "error": f"byte {at}: {e}"}
+            yield {"file": path, "record_no": number, "data": None, "error": f"byte {at}: {e}"}
             return
         yield {"file": path, "record_no": number, **fields, "error": None}
         at, number = at + length, number + 1
@@ -119,10 +119,10 @@ def decode_files(files: DataFrame) -> DataFrame:
                 for row in _records(path, bytes(content)):
                     rows.append(row)
                     if len(rows) == RECORD_BATCH:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield pd.DataFrame(rows, columns=columns, dtype=object)
                         rows = []
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, WAVE_RECORD)
 
@@ -132,7 +132,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def stream_files(spark: SparkSession, path: str, glob: str = "*", files_per_trigger: int = 64) -> DataFrame:
-    return (spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
+    return (spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", glob)
             .option("maxFilesPerTrigger", files_per_trigger).load(path))
 
 
