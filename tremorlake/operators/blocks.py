@@ -56,10 +56,12 @@ def running(df: DataFrame, keys: list[str], order: str, block: Column, specs: di
                                                  for out, (_, how) in specs.items()})
     window = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = rows.join(carry, [*keys, "_blk"])
+    # The window comes before the join: its sort order then serves the join too.
+    near = rows.select("*", *[agg[how](f"_in_{out}").over(window).alias(f"_near_{out}") for out, (_, how) in specs.items()])
+    joined = near.join(carry, [*keys, "_blk"])
 
     def value(out: str, how: str) -> Column:
-        near, far = agg[how](F.col(f"_in_{out}")).over(window), F.col(f"_carry_{out}")
+        near, far = F.col(f"_near_{out}"), F.col(f"_carry_{out}")
         if how == "sum":
             return F.coalesce(near, F.lit(0)) + F.coalesce(far, F.lit(0))
         return F.greatest(near, far)
@@ -79,15 +81,18 @@ def explode_range(df: DataFrame, low: str, high: str, out: str, chunk: int = RAN
     return starts.withColumn(out, F.explode(F.sequence("_start", stop))).drop("_start")
 
 
+def spread_by_block(meta: DataFrame, npts: str, out: str, block: int = SPREAD_BLOCK) -> DataFrame:
+    """Repeat a key's metadata row once per block of ``block`` samples, numbered in ``out``."""
+    last = F.floor((F.greatest(F.col(npts), F.lit(1)) - 1) / F.lit(block)).cast("bigint")
+    spread = meta.withColumn("_last", last).withColumn("_first", F.lit(0).cast("bigint"))
+    return explode_range(spread, "_first", "_last", out).drop("_first", "_last")
+
+
 def join_by_block(samples: DataFrame, meta: DataFrame, keys: list[str], npts: str, index: str = "idx",
                   block: int = SPREAD_BLOCK) -> DataFrame:
     """Join long samples to one metadata row per key without sending a long key to one task.
 
-    The metadata row is repeated once per block of ``block`` samples and the join is on (key, block); Spark still
-    broadcasts the metadata when its measured size is below the threshold.
+    The join is on (key, block); Spark still broadcasts the metadata when its measured size is below the threshold.
     """
-    last = F.floor((F.greatest(F.col(npts), F.lit(1)) - 1) / F.lit(block)).cast("bigint")
-    spread = meta.withColumn("_last", last).withColumn("_first", F.lit(0).cast("bigint"))
-    spread = explode_range(spread, "_first", "_last", "_part").drop("_first", "_last")
     parts = samples.withColumn("_part", F.floor(F.col(index) / F.lit(block)).cast("bigint"))
-    return parts.join(spread, [*keys, "_part"]).drop("_part")
+    return parts.join(spread_by_block(meta, npts, "_part", block), [*keys, "_part"]).drop("_part")

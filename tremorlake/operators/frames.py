@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import channel_key, split_channel_key
@@ -15,6 +15,7 @@ from .blocks import explode_range
 BUFFER_ROWS = 100
 ROWS_PER_TICK = 25
 BUFFER_TICKS = BUFFER_ROWS // ROWS_PER_TICK
+TICK_BLOCK = 256
 
 
 def frame_keys(stations: Sequence[str], channels: Sequence[str] = CHANNELS) -> list[str]:
@@ -111,19 +112,21 @@ def frame_json(frame: DataFrame, keys: Sequence[str], time: str = "t") -> DataFr
 
 
 def rolling_buffer(zipped: DataFrame, ticks: int = BUFFER_TICKS, rows: int = BUFFER_ROWS,
-                   rows_per_tick: int = ROWS_PER_TICK, first_tick: int | None = None) -> DataFrame:
+                   rows_per_tick: int = ROWS_PER_TICK, first_tick: int | None = None, block: int = TICK_BLOCK) -> DataFrame:
     """The chart buffer after each frame: the rows of this frame and of the three before it.
 
-    Every row goes to the four frames that show it, so groups hold at most one buffer. ``padding`` counts the empty
-    slots still left from the start (100 empties, 25 dropped per frame), when ``first_tick`` is given.
+    Frames are made first, one row each. The window then runs over blocks of frames, a block also holding the last
+    frames of the one before. ``padding`` counts the empty slots still left from the start (100 empties, 25 dropped
+    per frame), when ``first_tick`` is given.
     """
     values = [c for c in zipped.columns if c not in ("station", "t")]
-    own = zipped.withColumn("_own", tick_of(F.col("t")))
-    shown = own.withColumn("tick", F.explode(F.sequence(F.col("_own"), F.col("_own") + (ticks - 1))))
-    out = shown.groupBy("station", "tick").agg(
-        F.sort_array(F.collect_list(F.struct("t", *values))).alias("buffer"),
-        F.max(F.col("_own") == F.col("tick")).alias("_live"),
-    ).where("_live").drop("_live")
+    frames = zipped.groupBy("station", tick_of(F.col("t")).alias("tick")).agg(
+        F.sort_array(F.collect_list(F.struct("t", *values))).alias("_frame"))
+    reach = F.sequence(F.floor(F.col("tick") / block), F.floor((F.col("tick") + (ticks - 1)) / block))
+    frames = frames.withColumn("_blk", F.explode(reach))
+    shown = Window.partitionBy("station", "_blk").orderBy("tick").rangeBetween(-(ticks - 1), 0)
+    held = frames.withColumn("buffer", F.flatten(F.collect_list("_frame").over(shown)))
+    out = held.where(F.col("_blk") == F.floor(F.col("tick") / block)).select("station", "tick", "buffer")
     if first_tick is not None:
         padding = F.lit(rows) - (F.col("tick") - first_tick + 1) * rows_per_tick
         out = out.withColumn("padding", F.greatest(padding, F.lit(0)))

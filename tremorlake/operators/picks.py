@@ -49,31 +49,29 @@ def sta_lta(samples: DataFrame, keys: Sequence[str], nsta: int, nlta: int, value
     decay = {"sta": 1 - 1 / nsta, "lta": 1 - 1 / nlta}
     length = {"sta": nsta, "lta": nlta}
     seed = {"sta": 0.0, "lta": LONG_SEED}
-    power = F.col(value) * F.col(value)
-    rows = samples.select(
-        *keys, "idx", F.col(value).cast("double").alias(value),
-        F.floor(F.col("idx") / F.lit(block)).cast("bigint").alias("_blk"),
-        (F.col("idx") % block).cast("bigint").alias("_pos"),
-        *[F.when(F.col("idx") > 0, power / n).otherwise(F.lit(seed[a])).alias(f"_in_{a}") for a, n in length.items()],
-    )
+    pos = F.col("idx") % block
+    added = {a: F.when(F.col("idx") > 0, F.col(value) * F.col(value) / n).otherwise(F.lit(seed[a])) for a, n in length.items()}
+    rows = samples.select(*keys, F.floor(F.col("idx") / F.lit(block)).cast("bigint").alias("_blk"), "idx",
+                          F.col(value).cast("double").alias(value))
     ends = rows.groupBy(*keys, "_blk").agg(*[
-        F.sum(F.col(f"_in_{a}") * F.pow(F.lit(d), F.lit(block - 1) - F.col("_pos"))).alias(f"_end_{a}")
-        for a, d in decay.items()])
+        F.sum(added[a] * F.pow(F.lit(d), F.lit(block - 1) - pos)).alias(f"_end_{a}") for a, d in decay.items()])
     reach = math.ceil(UNDERFLOW_FOLDS / (-math.log(decay["lta"]) * block)) + 1
     sent = ends.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(reach - 1))))
     carry = sent.groupBy(*keys, (F.col("_blk") + F.col("_step") + 1).alias("_blk")).agg(*[
-        F.sum(F.col(f"_end_{a}") * F.pow(F.lit(d), F.col("_step") * F.lit(block))).alias(f"_in_{a}")
+        F.sum(F.col(f"_end_{a}") * F.pow(F.lit(d), F.col("_step") * F.lit(block))).alias(f"_carry_{a}")
         for a, d in decay.items()])
-    first = carry.select(
-        *keys, F.lit(None).cast(dict(rows.dtypes)["idx"]).alias("idx"), F.lit(None).cast("double").alias(value), "_blk",
-        F.lit(-1).cast("bigint").alias("_pos"), *[f"_in_{a}" for a in decay])
+    # Only the sample and its place are shuffled; what follows from them is worked out afterwards.
+    both = rows.unionByName(carry, allowMissingColumns=True).repartition(*keys, "_blk")
+    both = both.withColumn("_pos", F.coalesce(pos, F.lit(-1)))
+    both = both.select("*", *[F.pow(F.lit(d), F.col("_pos")).alias(f"_scale_{a}") for a, d in decay.items()])
+    both = both.select(*keys, "_blk", "_pos", "idx", value, *[f"_scale_{a}" for a in decay], *[
+        (F.when(F.col("idx").isNull(), F.col(f"_carry_{a}")).otherwise(added[a]) / F.col(f"_scale_{a}")).alias(f"_in_{a}")
+        for a in decay])
     order = Window.partitionBy(*keys, "_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(first)
-    both = both.select(*keys, "_blk", "_pos", "idx", value, *[
-        (F.pow(F.lit(d), F.col("_pos"))
-         * F.sum(F.col(f"_in_{a}") * F.pow(F.lit(d), -F.col("_pos"))).over(order)).alias(a) for a, d in decay.items()])
+    both = both.select(*keys, "_blk", "idx", value, *[
+        (F.col(f"_scale_{a}") * F.sum(f"_in_{a}").over(order)).alias(a) for a in decay])
     ratio = F.when((F.col("idx") < nlta) | (F.col("lta") <= 0), 0.0).otherwise(F.col("sta") / F.col("lta"))
-    return both.where(F.col("_pos") >= 0).select(*keys, "idx", value, "sta", "lta", ratio.alias("ratio"), "_blk")
+    return both.where(F.col("idx").isNotNull()).select(*keys, "idx", value, "sta", "lta", ratio.alias("ratio"), "_blk")
 
 
 def trigger_intervals(ratios: DataFrame, keys: Sequence[str], on: float = TRIGGER_ON, off: float = TRIGGER_OFF) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import TARGET_RATE_HZ, target_length
 from ..functions.times import SAMPLE_STEP_US, micros, snap_micros
 from . import dsp
-from .blocks import explode_range, join_by_block
+from .blocks import explode_range, spread_by_block
 
 FILTER_BLOCK = 1 << 16
 RESAMPLE_BLOCK = 1 << 16
@@ -46,27 +46,26 @@ def bandpass(samples: DataFrame, keys: Sequence[str], rate: str = "sampling_rate
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         low = int(pdf["_blk"].iat[0]) * block
-        pdf = pdf.sort_values("idx", ignore_index=True)
-        idx, x = pdf["idx"].to_numpy(), pdf[value].to_numpy(dtype=float)
+        idx = pdf["idx"].to_numpy()
+        order = np.argsort(idx, kind="stable")
+        idx, x = idx[order], pdf[value].to_numpy(dtype=float)[order]
         fs, halo = float(pdf[rate].iat[0]), int(pdf["_halo"].iat[0])
         core = (idx >= low) & (idx < low + block)
-        out = pdf.loc[core, [*keys, "idx", rate]]
-        if out.empty:
-            return out.assign(filtered=np.empty(0), reason=None)
         at_start, at_end = idx[0] == 0, idx[-1] < low + block + halo - 1
         whole = idx[-1] - idx[0] + 1 == len(idx) and (at_start or idx[0] == low - halo)
         if not whole or np.isnan(x).any():
             reason = "gap"
         else:
             reason = dsp.bandpass_reason(len(x), fs)
-        if reason:
-            return out.assign(filtered=np.nan, reason=reason)
-        return out.assign(filtered=dsp.zero_phase(x, fs, at_start, at_end)[core], reason=None)
+        out = pdf[[*keys, rate]].iloc[:int(core.sum())].assign(idx=idx[core], reason=reason)
+        if reason or out.empty:
+            return out.assign(filtered=np.nan)
+        return out.assign(filtered=dsp.zero_phase(x, fs, at_start, at_end)[core])
 
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in [*keys, "idx", rate]) + ", filtered double, reason string"
     done = rows.groupBy(*keys, "_blk").applyInPandas(run, schema)
-    return done.withColumn("filtered", F.when(F.isnan("filtered"), F.lit(None)).otherwise(F.col("filtered")))
+    return done.withColumn("filtered", F.nanvl("filtered", F.lit(None).cast("double")))
 
 
 def resample(samples: DataFrame, keys: Sequence[str], npts: DataFrame, rate: str = "sampling_rate", value: str = "data",
@@ -84,8 +83,9 @@ def resample(samples: DataFrame, keys: Sequence[str], npts: DataFrame, rate: str
     border = (F.col("idx") % block == 0) & (F.col("idx") > 0)
     rows = rows.withColumn("_blk", F.explode(F.when(border, F.array(block_of - 1, block_of)).otherwise(F.array(block_of))))
     after = Window.partitionBy(*keys, "_blk").orderBy("idx")
-    rows = rows.withColumn("_next", F.lead(value).over(after)).where(F.col("_blk") == block_of).drop("_blk")
-    rows = join_by_block(rows, npts.select(*keys, "npts"), keys, "npts", block=block)
+    rows = rows.withColumn("_next", F.lead(value).over(after)).where(F.col("_blk") == block_of)
+    # Joined on the window's own partitioning, so the samples are shuffled once.
+    rows = rows.join(spread_by_block(npts.select(*keys, "npts"), "npts", "_blk", block), [*keys, "_blk"])
     n = F.col("npts").cast("bigint")
     if grid == "exact":
         milli = F.round(F.col(rate) * 1000).cast("bigint")
