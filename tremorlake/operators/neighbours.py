@@ -77,22 +77,21 @@ def _cells(places: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame, int]:
 
 def _within_reach(rows: DataFrame, k: int) -> DataFrame:
     """Drop the cells that lie beyond the k-th other position of the row's own position."""
-    near = {a: F.greatest(F.col(f"lo_{a}") - F.col(f"p{a}"), F.col(f"p{a}") - F.col(f"hi_{a}"), F.lit(0.0)) for a in _AXES}
-    far = {a: F.greatest(F.col(f"hi_{a}") - F.col(f"p{a}"), F.col(f"p{a}") - F.col(f"lo_{a}")) for a in _AXES}
+    near = [f"greatest(lo_{a} - p{a}, p{a} - hi_{a}, 0D)" for a in _AXES]
+    far = [f"greatest(hi_{a} - p{a}, p{a} - lo_{a})" for a in _AXES]
 
-    def length(parts: dict[str, Column]) -> Column:
-        x, y, z = (parts[a] for a in _AXES)
-        return F.sqrt(x * x + y * y + z * z)
+    def length(parts: list[str]) -> str:
+        return "sqrt(" + " + ".join(f"{p} * {p}" for p in parts) + ")"
 
-    rows = rows.select("*", length(near).alias("_near"), length(far).alias("_far"))
     # A box that covers the position may hold the position itself, which is no neighbour.
-    rows = rows.withColumn("_others", F.col("n") - F.when(F.col("_near") == 0, 1).otherwise(0))
-    point = Window.partitionBy("px", "py")
-    upto = point.orderBy("_far").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_reach", F.when(F.sum("_others").over(upto) >= k, F.col("_far")))
-    rows = rows.withColumn("_radius", F.min("_reach").over(point))
-    kept = rows.where(F.col("_radius").isNull() | (F.col("_near") <= F.col("_radius") + _SLACK))
-    return kept.drop("_near", "_far", "_others", "_reach", "_radius")
+    return (
+        rows.selectExpr("*", f"{length(near)} AS _near", f"{length(far)} AS _far")
+        .selectExpr("*", """sum(n - if(_near = 0, 1, 0)) OVER (PARTITION BY px, py ORDER BY _far
+                            RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _covered""")
+        .selectExpr("*", f"min(if(_covered >= {k}, _far, NULL)) OVER (PARTITION BY px, py) AS _radius")
+        .where(f"_radius IS NULL OR _near <= _radius + {_SLACK}D")
+        .drop("_near", "_far", "_covered", "_radius")
+    )
 
 
 def candidate_positions(places: DataFrame, k: int = K, leaf: int = LEAF_POSITIONS) -> DataFrame:
@@ -103,15 +102,15 @@ def candidate_positions(places: DataFrame, k: int = K, leaf: int = LEAF_POSITION
     # Level 0 is one cell.
     frontier = frontier.join(F.broadcast(tree.where(F.col("level") == 0)), _CELL)
     node = ["n", *[f"{e}_{a}" for a in _AXES for e in ("lo", "hi")], "split", "level", *_CELL]
+    point = ["px", "py", *[f"p{a}" for a in _AXES]]
     for level in range(1, depth + 1):
         # A cell that is not split has no children and stays; one join serves both.
-        children = tree.where(F.col("level") == level).select(
-            F.lit(level - 1).alias("level"), *[F.shiftright(F.col(c), 1).alias(c) for c in _CELL], F.struct(*node).alias("child"))
+        children = tree.where(f"level = {level}").selectExpr(
+            f"{level - 1} AS level", *[f"shiftright({c}, 1) AS {c}" for c in _CELL], f"struct({', '.join(node)}) AS child")
         if level <= BROADCAST_LEVEL:
             children = F.broadcast(children)
         opened = frontier.join(children, ["level", *_CELL], "left")
-        opened = opened.select("px", "py", *[f"p{a}" for a in _AXES],
-                               *[F.coalesce(F.col("child")[c], F.col(c)).alias(c) for c in node])
+        opened = opened.selectExpr(*point, *[f"coalesce(child.{c}, {c}) AS {c}" for c in node])
         frontier = _within_reach(opened, k)
         if level < depth and level % STORE_EVERY == 0:
             frontier = stored(frontier, "frontier")

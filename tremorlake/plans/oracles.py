@@ -149,15 +149,14 @@ RAW = SAMPLES + f", raw AS (SELECT station, channel, idx, data, (CASE station {R
 
 def _resample(keys: str, source: str, exact: bool = False) -> str:
     if exact:
-        count, at = "floor((n - 1) * 25 / fs)::BIGINT + 1", "j * fs / 25"
+        count, num, den = "floor((n - 1) * 25 / fs)::BIGINT + 1", "fs::BIGINT", "25"
     else:
-        count, at = "ceil(n * 25 / fs)::BIGINT", "CASE WHEN m = 1 THEN 0 ELSE j * (n - 1) / (m - 1)::DOUBLE END"
+        count, num, den = "ceil(n * 25 / fs)::BIGINT", "(n - 1)", "greatest(m - 1, 1)"
     return f"""traces AS (SELECT {keys}, max(fs) AS fs, count(*) AS n, list(data ORDER BY idx) AS a FROM {source} GROUP BY {keys}),
 sized AS (SELECT *, {count} AS m FROM traces),
 points AS (SELECT {keys}, a, n, m, unnest(range(m)) AS j, fs FROM sized),
-placed AS (SELECT {keys}, a, n, j, {at} AS pos FROM points)
-SELECT {keys}, j AS idx, round((1 - (pos - floor(pos))) * a[floor(pos)::BIGINT + 1]
-  + (pos - floor(pos)) * a[least(floor(pos)::BIGINT + 2, n)], 6) + 0.0 AS data FROM placed"""
+placed AS (SELECT {keys}, a, n, j, j * {num} // {den} AS i, (j * {num} % {den}) / ({den})::DOUBLE AS f FROM points)
+SELECT {keys}, j AS idx, round((1 - f) * a[i + 1] + f * a[least(i + 2, n)], 9) + 0.0 AS data FROM placed"""
 
 
 def _bandpass(keys: list[str], source: str, rates: list[float]) -> str:

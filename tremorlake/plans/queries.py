@@ -329,13 +329,13 @@ def _npts(rows: DataFrame, keys: list[str]) -> DataFrame:
 @query
 def resample_25hz(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.raw_samples(spark, sf_dir)
-    return signal.resample(rows, TRACE, _npts(rows, TRACE)).select(*TRACE, "idx", rounded("data", "data"))
+    return signal.resample(rows, TRACE, _npts(rows, TRACE)).select(*TRACE, "idx", rounded("data", "data", 9))
 
 
 @query
 def resample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.raw_samples(spark, sf_dir)
-    return signal.resample(rows, TRACE, _npts(rows, TRACE), grid="exact").select(*TRACE, "idx", rounded("data", "data"))
+    return signal.resample(rows, TRACE, _npts(rows, TRACE), grid="exact").select(*TRACE, "idx", rounded("data", "data", 9))
 
 
 @query
@@ -343,7 +343,7 @@ def resample_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = F.create_map(*[F.lit(v) for kv in views.RAW_RATES.items() for v in kv])[F.col("station")]
     rows = views.traces(spark, sf_dir).select("file", *TRACE, signal.resample_array(F.col("data"), rate).alias("points"))
     return rows.select("file", *TRACE, F.posexplode("points").alias("idx", "data")).select(
-        "file", *TRACE, F.col("idx").cast("bigint").alias("idx"), rounded("data", "data"))
+        "file", *TRACE, F.col("idx").cast("bigint").alias("idx"), rounded("data", "data", 9))
 
 
 @query
