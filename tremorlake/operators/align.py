@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import offset_samples
 from ..functions.times import micros
+from ..session import stored
 from .blocks import explode_range, join_by_block
 
 # Output label of each channel.
@@ -25,8 +26,8 @@ def component_offsets(traces: DataFrame, components: dict[str, str] = COMPONENTS
     """Per trace its offset in samples behind the earliest component, and that component's label."""
     label = F.create_map(*[F.lit(v) for kv in components.items() for v in kv])[F.col("channel")]
     labelled = traces.withColumn("label", label)
-    first = labelled.groupBy("mseed_name", "station").agg(F.min(F.struct("start", "label")).alias("first"))
-    rows = labelled.join(first, ["mseed_name", "station"])
+    together = Window.partitionBy("mseed_name", "station")
+    rows = labelled.withColumn("first", F.min(F.struct("start", "label")).over(together))
     diff = micros("start") - F.unix_micros("first.start")
     return rows.select(
         "mseed_name", "station", "channel", "label", "npts",
@@ -42,7 +43,8 @@ def offset_list(offsets: DataFrame) -> DataFrame:
 def align_components(samples: DataFrame, traces: DataFrame, components: dict[str, str] = COMPONENTS) -> DataFrame:
     """(mseed_name, station, idx, e, n, z): 0 before a component starts, null after it ends."""
     keys = ["mseed_name", "station", "channel"]
-    offsets = component_offsets(traces, components)
+    # One row per trace, used for the samples and for the padding.
+    offsets = stored(component_offsets(traces, components), "offsets")
     moved = join_by_block(samples, offsets.select(*keys, "label", "offset", "npts"), keys, "npts")
     moved = moved.select("mseed_name", "station", (F.col("idx") + F.col("offset")).alias("idx"), "label", "data")
     pad = offsets.select("mseed_name", "station", "label", F.lit(0).alias("_lo"), (F.col("offset") - 1).alias("_hi"))
@@ -58,10 +60,8 @@ def station_offsets(traces: DataFrame) -> DataFrame:
     """
     own = traces.groupBy("mseed_name", "station").agg(
         F.min(F.struct("start", "channel", "sampling_rate", "npts")).alias("own"))
-    first = own.groupBy("mseed_name").agg(
-        F.min(F.struct(F.col("own.start").alias("start"), F.col("station"),
-                       F.col("own.sampling_rate").alias("rate"))).alias("first"))
-    rows = own.join(first, "mseed_name")
+    earliest = F.min(F.struct(F.col("own.start").alias("start"), F.col("station"), F.col("own.sampling_rate").alias("rate")))
+    rows = own.withColumn("first", earliest.over(Window.partitionBy("mseed_name")))
     diff = F.unix_micros("own.start") - F.unix_micros("first.start")
     return rows.select(
         "mseed_name", "station", F.col("own.channel").alias("channel"), F.col("own.npts").alias("npts"),

@@ -41,11 +41,15 @@ def last_write(samples: DataFrame, keys: Sequence[str] = ("station", "channel",
 def wide_frame(samples: DataFrame, keys: Sequence[str], fill: float | None = None, by: Sequence[str] = ("t",)) -> DataFrame:
     """Rows by time, one column per channel_station; a key written twice keeps its last value.
 
-    Replacement and pivot are one aggregation, so the samples are shuffled once, by time.
+    Replacement and pivot are one aggregation, so the samples are shuffled once, by time. Samples of other stations
+    and channels are left out at the scan.
     """
-    key = channel_key()
-    columns = [F.max_by("data", F.when(key == k, F.col("ingest_seq"))).alias(k) for k in keys]
-    wide = samples.groupBy(*by).agg(*columns)
+    parts = {k: k.split("_")[:2] for k in keys}
+    wanted = samples.where(F.col("channel").isin(sorted({c for c, _ in parts.values()}))
+                           & F.col("station").isin(sorted({s for _, s in parts.values()})))
+    columns = [F.max_by("data", F.when((F.col("channel") == c) & (F.col("station") == s), F.col("ingest_seq"))).alias(k)
+               for k, (c, s) in parts.items()]
+    wide = wanted.groupBy(*by).agg(*columns)
     return wide.fillna(fill, subset=list(keys)) if fill is not None else wide
 
 

@@ -293,7 +293,7 @@ SELECT file, station, channel, array_to_string(words, '') AS text, len(words) AS
   len(list_filter(words, lambda v: v = 'None ')) AS n_null,
   round(list_sum(list_transform(list_filter(words, lambda v: v <> 'None '), lambda v: CAST(trim(v) AS DOUBLE))), 8) + 0.0 AS total FROM texts""",
         "trace_document": f"""{w}{TRACES}, texts AS (SELECT *, list_sum(list_transform(a, lambda v: length(printf('%.10f ', v))))::BIGINT AS size FROM traces)
-SELECT file AS name, trace_no // 4 AS part, count(*) AS n_traces, string_agg(trace_no || ':IA:' || station || ':' || channel || ':' || npts || ':'
+SELECT file AS name, (trace_no // 4)::BIGINT AS part, count(*) AS n_traces, string_agg(trace_no || ':IA:' || station || ':' || channel || ':' || npts || ':'
   || strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%S.%f') || 'Z:' || size, ',' ORDER BY trace_no) AS traces
 FROM texts GROUP BY file, trace_no // 4""",
         "trace_metadata": f"""{w}{TRACES} SELECT 'IA' AS network, station, channel, '' AS location, start_us, end_us, 0.04::DOUBLE AS delta, npts,
@@ -311,6 +311,11 @@ FROM verdicts WHERE NOT accepted""",
 SELECT a.name, CASE WHEN s.name IS NULL THEN 0 ELSE 1 END::BIGINT AS found, s.x, s.y FROM asked a LEFT JOIN stations s ON s.name = a.name""",
         "station_exists": f"""{w}{STATION}, {CHANGES} SELECT seq, name, CASE WHEN name IN (SELECT name FROM stations) THEN 'exists' ELSE 'new' END AS outcome
 FROM changes WHERE op = 'insert'""",
+        "station_list": f"""{w}{STATION}, {_nearest('stations')}
+SELECT s.name, s.description, s.x, s.y, string_agg(n.other, ',' ORDER BY n.rank) AS closest
+FROM stations s JOIN near n ON n.name = s.name GROUP BY s.name, s.description, s.x, s.y""",
+        "trace_order": f"""{w}{COMPONENTS} SELECT mseed_name, station, string_agg(start_us || ':' || channel, ',' ORDER BY start_us, channel) AS traces
+FROM starts GROUP BY mseed_name, station""",
         "component_offsets": f"""{w}{OFFSETS} SELECT mseed_name, station, first_label, string_agg(label || ':' || off, ',' ORDER BY label) AS offsets
 FROM offsets GROUP BY ALL""",
         "component_align": f"""{w}{OFFSETS}, moved AS (

@@ -18,6 +18,7 @@ from ..schemas import CHANNELS, STATIONS
 from ..session import shared_path, ship_package
 from ..sources import documents, messages, waveform
 from ..sources import samples as sample_store
+from ..sources import stations as station_table
 from ..streaming import alerts as stream_alerts
 from ..streaming import consume as stream_consume
 from ..streaming import frames as stream_frames
@@ -290,9 +291,27 @@ def station_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.unionByName(station_ops.known_names(asked, known).select("seq", "name", F.lit("exists").alias("outcome")))
 
 
+@query
+def station_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored station table, read with its declared columns."""
+    path = shared_path(spark, "station-table")
+    station_table.write_snapshot(neighbours.with_closest(views.stations(spark, sf_dir)), path)
+    rows = station_table.read_stations(spark, path)
+    return rows.select("name", "description", "x", "y", F.array_join("closest_stations", ",").alias("closest"))
+
+
 # Alignment
 
 
+@query
+def trace_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The traces of each recording and station in order of their start."""
+    starts = align.trace_starts(views.component_samples(spark, sf_dir))
+    ordered = F.array_sort(F.collect_list(F.struct("start", "channel")))
+    listed = F.transform(ordered, lambda t: F.concat_ws(":", F.unix_micros(t["start"]).cast("string"), t["channel"]))
+    return starts.groupBy("mseed_name", "station").agg(F.array_join(listed, ",").alias("traces"))
+
+
 @query
 def component_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = align.trace_starts(views.component_samples(spark, sf_dir))

@@ -57,7 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     A folder of our own is set only when the setting is absent and Spark runs in one local process.
     """
-    configured = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
