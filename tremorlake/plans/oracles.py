@@ -235,7 +235,7 @@ TRACES = SAMPLES + """, traces AS (
     list(CASE WHEN idx % 50 <> 0 THEN data END / 100000 ORDER BY idx) AS scaled, list(data ORDER BY idx) AS a
   FROM samples GROUP BY mseed_name, station, channel)"""
 
-STREAMED = "(SELECT max(t_us) - 10000000 FROM samples)"
+STREAMED = "(SELECT max(t_us) - 2000000 FROM samples)"
 CUT = f"CASE WHEN event_id % {BAD_EVERY} = 0 THEN substr(props, 1, 4) ELSE props END"
 
 
@@ -268,7 +268,7 @@ FROM own o JOIN zipped z ON z.station = o.station AND z.tick BETWEEN o.tick - 3
 SELECT k.tick, count(s.tick) AS n_rows, count(DISTINCT s.station || s.channel) AS n_channels
 FROM ticks k LEFT JOIN samples s ON s.tick = k.tick GROUP BY k.tick""",
         "station_filter": f"{w}{SAMPLES} SELECT mseed_name, station, channel, idx, data FROM samples WHERE station IN ('GMJI', 'PWJI')",
-        "recording_filter": f"{w}{SAMPLES} SELECT mseed_name, station, channel, idx, data FROM samples WHERE mseed_name = '20150820_151221'",
+        "recording_filter": f"{w}{SAMPLES} SELECT mseed_name, station, channel, idx, data FROM samples WHERE mseed_name = '20150820_151201'",
         "time_range": f"""{w}{TIMED} SELECT ingest_seq, t_us, data FROM timed
 WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-20'""",
         "latest_row": f"{w}{FRAMES} SELECT mseed_name, station, tick, x, time, E_data, N_data, Z_data, p_arrival, lat FROM latest",

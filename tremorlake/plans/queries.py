@@ -33,7 +33,7 @@ RECORDED = ["mseed_name", "station", "channel"]
 KEYS = frames.frame_keys(STATIONS)
 # The given values trigger with short windows only; the defaults are exercised in the tests.
 NSTA, NLTA, ON, OFF = 5, 50, 2.5, 0.5
-STREAM_DELAY = "10 seconds"
+STREAM_DELAY = "2 seconds"
 BAD_EVERY = 97
 
 _queries: dict[str, Query] = {}
@@ -141,7 +141,7 @@ def station_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def recording_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = frames.select_recording(views.samples(spark, sf_dir), "20150820_151221")
+    chosen = frames.select_recording(views.samples(spark, sf_dir), "20150820_151201")
     return chosen.select(*RECORDED, "idx", "data")
 
 
