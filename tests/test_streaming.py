@@ -10,7 +10,7 @@ from tremorlake.operators import alerts as batch_alerts
 from tremorlake.operators import picks
 from tremorlake.sources import messages, waveform
 from tremorlake.streaming import alerts, consume, frames, picker
-from tremorlake.streaming.runs import run_to_table, write_table
+from tremorlake.streaming.runs import replay_stream, run_to_table, write_table
 
 START = datetime(2015, 8, 20, 15, 12, 1)
 SAMPLE = "station string, channel string, t timestamp, data double, ingest_seq bigint"
@@ -28,7 +28,7 @@ def write_in_order(spark, tmp_path, parts, schema, name="in"):
         target = folder / f"{i:03d}.parquet"
         target.write_bytes(written.read_bytes())
         os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    return replay_stream(spark, str(folder), schema)
 
 
 def rows_of(x, station="GMJI", channel="BHZ", start=0, step_ms=40):

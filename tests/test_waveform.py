@@ -107,6 +107,11 @@ def test_records_join_until_a_gap(spark, tmp_path):
     assert [(r["channel"], r["npts"]) for r in rows] == [("BHZ", 20), ("BHE", 5), ("BHZ", 10)]
     assert rows[0]["data"] == [float(v) for v in range(20)]
     assert (rows[0]["endtime"] - rows[0]["starttime"]).total_seconds() == pytest.approx(19 * 0.04)
+    records = waveform.decode_files(waveform.read_files(spark, str(folder), "*.mseed"))
+    rows_of = waveform.record_samples(records).where("channel = 'BHZ'").orderBy("segment", "idx").collect()
+    assert [(r["segment"], r["idx"], r["data"]) for r in rows_of] == [
+        (1, i, float(i)) for i in range(20)] + [(2, i, 20.0 + i) for i in range(10)]
+    assert (rows_of[19]["t"] - rows_of[0]["t"]).total_seconds() == pytest.approx(19 * 0.04)
     docs = documents.trace_documents(traces).collect()
     assert len(docs) == 1 and [t["trace_no"] for t in docs[0]["traces"]] == [0, 1, 2]
     assert docs[0]["traces"][1]["data"].startswith("0.0000000000 1.0000000000 ")

@@ -42,7 +42,8 @@ def wide_frame(samples: DataFrame, keys: Sequence[str], fill: float | None = Non
     """Rows by time, one column per channel_station; a key written twice keeps its last value.
 
     Replacement and pivot are one aggregation, so the samples are shuffled once, by time. Samples of other stations
-    and channels are left out at the scan.
+    and channels are left out at the scan. Every key is a column to aggregate: for hundreds of stations use
+    :func:`map_frame`.
     """
     parts = {k: k.split("_")[:2] for k in keys}
     wanted = samples.where(F.col("channel").isin(sorted({c for c, _ in parts.values()}))

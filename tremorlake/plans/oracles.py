@@ -359,6 +359,7 @@ SELECT event_id, CASE WHEN json_valid(value) THEN CAST(json_extract(value, '$.k'
         "event_json": f"""{w}{SAMPLES} SELECT station, channel, strftime(make_timestamp(t_us), '%Y-%m-%d %H:%M:%S.%f') AS time, data, ingest_seq,
   1::BIGINT AS stamped FROM samples""",
         "binary_ingest": f"""{w}{SAMPLES} SELECT mseed_name, station, channel, idx % {LOCAL} AS sample_no, t_us, data FROM samples""",
+        "binary_samples": f"{w}{SAMPLES} SELECT mseed_name, station, channel, idx % {LOCAL} AS idx, t_us, data FROM samples",
         "stream_frame": f"{w}{WIDE} SELECT tick, t_us, {', '.join(KEYS)} FROM wide WHERE t_us <= {STREAMED}",
         "stream_sliding": f"""{w}{SAMPLES}, shown AS (SELECT *, unnest(range(tick, tick + 4)) AS seen FROM samples)
 SELECT seen AS tick, station, channel, count(*) AS n, {_points('data', 't_us')} AS points FROM shown

@@ -498,6 +498,13 @@ def binary_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("sample_no").cast("bigint").alias("sample_no"), us(), "data")
 
 
+@query
+def binary_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings as file bytes, decoded to records and unrolled to samples without whole traces."""
+    rows = waveform.record_samples(waveform.decode_files(views.waveform_files(spark, sf_dir)))
+    return rows.select(F.col("file").alias("mseed_name"), *TRACE, "idx", us(), "data")
+
+
 # Streams
 
 

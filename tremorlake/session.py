@@ -10,11 +10,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "tremorlake", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "tremorlake", master: str | None = None, shuffle_partitions: int | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
     """A session with UTC timestamps, adaptive execution and skew handling on.
 
-    Sizes that depend on the cluster (memory, cores, partitions) stay with the caller's configuration; only
-    ``shuffle_partitions`` may be lowered for local runs.
+    Sizes that depend on the cluster stay with the caller's configuration; the arguments are for local runs.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -30,6 +30,8 @@ def build_session(app: str = "tremorlake", master: str | None = None, shuffle_pa
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     ship_package(spark)
     return spark

@@ -171,6 +171,22 @@ def assemble_traces(records: DataFrame) -> DataFrame:
     return traces
 
 
+def record_samples(records: DataFrame) -> DataFrame:
+    """Records straight to sample rows (file, trace keys, segment, idx, t, data), without building whole traces.
+
+    For files too long to hold a trace in one row; the rows go into the block-wise signal operators.
+    """
+    trace = [*_channel_id(), "segment"]
+    rows = number_segments(records).withColumn("_from", F.min("start_us").over(Window.partitionBy(*trace)))
+    step = F.lit(1_000_000.0) / F.col("sampling_rate")
+    # Half a sample of slack is allowed between records, so the place of a record is the nearest whole sample.
+    first = F.round((F.col("start_us") - F.col("_from")) / step).cast("bigint")
+    rows = rows.select(*trace, "_from", "sampling_rate", first.alias("_first"), F.posexplode("data").alias("_pos", "data"))
+    idx = F.col("_first") + F.col("_pos")
+    t = F.timestamp_micros(F.col("_from") + F.round(idx * step).cast("bigint"))
+    return rows.select(*trace, idx.alias("idx"), t.alias("t"), "sampling_rate", "data")
+
+
 def process_traces(traces: DataFrame) -> DataFrame:
     """Band-pass and resample every trace: adds ``data_interpolated`` and ``reason``, sets the rate to 25.
 

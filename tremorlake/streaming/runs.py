@@ -26,6 +26,11 @@ def state_partitions(spark: SparkSession) -> Iterator[None]:
             spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def replay_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
+    """A stored sample table as a stream, a few files per micro-batch in the order of their modification times."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
 def write_table(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, mode: str = "append",
                 partition_by: tuple[str, ...] = ()) -> StreamingQuery:
     """Start a stream into a Parquet table."""
