@@ -2,18 +2,54 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tremorlake.llm import dedup, jaccard, mixing, packing, quality
+from tremorlake.llm.common import read
+from tremorlake.llm.queries import SEQUENCE
 from tremorlake.session import shared_path, ship_package
 
-STAGES = []
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the given documents and ``labels``, doesn't reject."""
+    ship_package(spark)
+    return quality.good_documents(docs, read(spark, sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    ship_package(spark)
+    return dedup.distinct_documents(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near duplicates."""
+    ship_package(spark)
+    return jaccard.first_of_each_class(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by the weights of their sources, some of them repeated."""
+    ship_package(spark)
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in sequences; repeated documents have rows for each time."""
+    ship_package(spark)
+    pieces = packing.token_pieces(docs, SEQUENCE, public_tokenizers.path("byte_bpe_50k.json"), 0)
+    return packing.pack(pieces, SEQUENCE, docs.count())
+
+
+STAGES = [
+    ("quality", good_quality), ("exact dedup", without_copies), ("near duplicates", without_near_copies), ("source mix", mixed), ("packing", packed)]
 #: The quality classifier, the similarity join and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name.replace(' ', '-')}")

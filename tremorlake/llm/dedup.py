@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -32,6 +32,10 @@ def _winner() -> Column:
     return F.min(F.struct((-F.col("points")).alias("neg_points"), "doc_id"))
 
 
+def _content() -> Column:
+    return F.regexp_replace(text_or_empty(), f"[{SPACE}]+", "")
+
+
 def content_groups(rows: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per distinct content: digest, content, winner, group_size. ``rows``: doc_id, points, digest, content."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
@@ -44,8 +48,7 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
 
     Texts are compared without white space. ``digest`` only deals texts out; equal digests of different texts are told apart.
     """
-    content = F.regexp_replace(text_or_empty(), f"[{SPACE}]+", "")
-    rows = docs.select("doc_id", F.char_length(text_or_empty()).alias("points"), content.alias("content"))
+    rows = docs.select("doc_id", F.char_length(text_or_empty()).alias("points"), _content().alias("content"))
     rows = rows.withColumn("digest", digest(F.col("content")))
     groups = content_groups(rows, salts).withColumn("text_sha256", sha256(F.col("content")))
     by, kept = ["digest"], stored(groups.drop("content"), "copies")
@@ -58,3 +61,13 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     unfolded = joined.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return unfolded.select("doc_id", F.col("winner.doc_id").alias("keep_id"), "group_size", (one & (F.col("copy") == 1)).alias("kept"),
                            "text_sha256")
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each content."""
+    kept = exact_duplicates(docs).filter("kept").select(F.concat_ws("|", F.col("doc_id").cast("string"), "text_sha256").alias("_copy_key"))
+    keyed = docs.withColumn("_copy_key", F.concat_ws("|", F.col("doc_id").cast("string"), sha256(_content())))
+    found = keyed.join(kept, "_copy_key", "left_semi")
+    # Only rows that repeat a doc_id and a content meet here; the longest is the one that stays.
+    first = Window.partitionBy("_copy_key").orderBy(F.desc(F.char_length(text_or_empty())))
+    return found.withColumn("_copy_turn", F.row_number().over(first)).filter("_copy_turn = 1").select(*docs.columns)

@@ -44,37 +44,55 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), mos
     return levelled.withColumn("target", target).drop("level")
 
 
+def _placed(rows: DataFrame, light: DataFrame, weights: tuple[int, ...], most: int, rows_per_range: int) -> DataFrame:
+    """``rows`` (with _mix_source, _mix_size, _mix_key, and any more columns) with _mix_epochs and _mix_part; ``light`` has the same rows."""
+    sources = light.groupBy(F.col("_mix_source").alias("source")).agg(F.count("*").alias("n_rows"), F.sum("_mix_size").alias("source_size"))
+    targets = stored(source_targets(sources, weights, most).select(
+        "source", "n_rows", F.col("rank").alias("_mix_rank"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target")), "targets")
+    cuts = F.ceil(F.col("n_rows") / rows_per_range).cast("bigint")
+
+    def ranged(some: DataFrame) -> DataFrame:
+        joined = some.join(targets, F.col("_mix_source").eqNullSafe(F.col("source")))
+        return joined.select(*some.columns, "_mix_rank", "_mix_source_size", "_mix_target", F.shiftright(F.col("_mix_key") * cuts, 32).alias("_mix_range"))
+
+    ranges = ranged(light).groupBy("_mix_rank", "_mix_range").agg(F.sum("_mix_size").alias("words")).withColumn("together", F.expr(f"_mix_range div {_RANGES_TOGETHER}"))
+    groups = ranges.groupBy("_mix_rank", "together").agg(F.sum("words").alias("words"))
+    groups = groups.select("_mix_rank", "together", F.expr("sum(words) OVER (PARTITION BY _mix_rank ORDER BY together) - words").alias("base"))
+    ranges = ranges.withColumn("inner", F.expr("sum(words) OVER (PARTITION BY _mix_rank, together ORDER BY _mix_range) - words"))
+    starts = stored(ranges.join(groups, ["_mix_rank", "together"]).select("_mix_rank", "_mix_range", (F.col("base") + F.col("inner")).alias("_mix_start")), "ranges")
+    order = Window.partitionBy("_mix_rank", "_mix_range").orderBy("_mix_key", "doc_id", "_mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.col("_mix_start") + F.sum("_mix_size").over(order) - F.col("_mix_size")
+    epochs = F.when(F.col("_mix_source_size") > 0, F.expr("floor(_mix_target) div _mix_source_size")).otherwise(0).cast("bigint")
+    placed = ranged(rows).join(starts, ["_mix_rank", "_mix_range"]).withColumn("_mix_before", before).withColumn("_mix_epochs", epochs)
+    left = F.floor("_mix_target") - F.col("_mix_epochs") * F.col("_mix_source_size") - F.col("_mix_before")
+    return placed.withColumn("_mix_part", F.greatest(F.lit(0), F.least("_mix_size", left)).cast("bigint"))
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint")
+    return docs.select("*", F.col("source").cast("string").alias("_mix_source"), word_count().alias("_mix_size"), key.alias("_mix_key"))
+
+
+_LIGHT = ["doc_id", "_mix_source", "_mix_size", "_mix_key"]
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, rows_per_range: int = 2048) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, epochs (whole ones), part (words of one more epoch), taken."""
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint")
-    light = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), key.alias("key")), "sizes")
-    sources = light.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("size").alias("source_size"))
-    targets = stored(source_targets(sources, weights, most), "targets")
-    cuts = F.ceil(F.col("n_rows") / rows_per_range).cast("bigint")
-    rows = light.withColumnRenamed("source", "of").join(targets, F.col("of").eqNullSafe(F.col("source"))).drop("of")
-    rows = rows.withColumn("range", F.shiftright(F.col("key") * cuts, 32))
-    ranges = rows.groupBy("rank", "range").agg(F.sum("size").alias("words")).withColumn("group", F.expr(f"range div {_RANGES_TOGETHER}"))
-    groups = ranges.groupBy("rank", "group").agg(F.sum("words").alias("words"))
-    groups = groups.select("rank", "group", F.expr("sum(words) OVER (PARTITION BY rank ORDER BY `group`) - words").alias("base"))
-    ranges = ranges.withColumn("inner", F.expr("sum(words) OVER (PARTITION BY rank, `group` ORDER BY range) - words"))
-    starts = stored(ranges.join(groups, ["rank", "group"]).select("rank", "range", (F.col("base") + F.col("inner")).alias("range_start")), "ranges")
-    order = Window.partitionBy("rank", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.join(starts, ["rank", "range"]).withColumn("before", F.col("range_start") + F.sum("size").over(order) - F.col("size"))
-    budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("bigint")
-    part = F.greatest(F.lit(0), F.least("size", F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("before")))
-    placed = placed.withColumn("budget", budget).withColumn("epochs", epochs).withColumn("part", part.cast("bigint"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "epochs", "part",
-                         (F.col("epochs") * F.col("size") + F.col("part")).cast("bigint").alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The documents of the mix, whole, each as often as the mix takes it (a part counts from half the size on).
-
-    Needs unique doc_ids; a document without words has no place in a mix by words and stays once.
+    light = stored(_measured(docs.select("doc_id", "source", "text")).select(*_LIGHT), "sizes")
+    placed = _placed(light, light, weights, most, rows_per_range)
+    names = {"_mix_source": "source", "_mix_size": "size", "_mix_source_size": "source_size", "_mix_target": "target", "_mix_epochs": "epochs", "_mix_part": "part"}
+    taken = (F.col("_mix_epochs") * F.col("_mix_size") + F.col("_mix_part")).cast("bigint").alias("taken")
+    return placed.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()], taken)
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, rows_per_range: int = 2048) -> DataFrame:
+    """The documents of the mix, whole and with all columns, each as often as the mix takes it.
+
+    The part of a document at a source's cut counts as once from half the document on. A document without words stays once.
     """
-    taken = mix(docs, weights, most)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + F.when(F.col("part") * 2 >= F.col("size"), 1).otherwise(0))
-    taken = taken.select(F.col("doc_id").alias("mixed_id"), times.cast("int").alias("mixed_times")).filter("mixed_times > 0")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return joined.select("*", F.explode(F.sequence(F.lit(1), F.col("mixed_times"))).alias("mixed_turn")).select(*docs.columns)
+    measured = _measured(docs)
+    placed = _placed(measured, stored(measured.select(*_LIGHT), "sizes"), weights, most, rows_per_range)
+    once_more = F.when(F.col("_mix_part") * 2 >= F.col("_mix_size"), 1).otherwise(0)
+    times = F.when(F.col("_mix_size") == 0, 1).otherwise(F.col("_mix_epochs") + once_more).cast("int")
+    repeated = placed.withColumn("_mix_times", times).filter("_mix_times > 0")
+    return repeated.select("*", F.explode(F.sequence(F.lit(1), "_mix_times")).alias("_mix_turn")).select(*docs.columns)

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_path, ship_package
-from . import dedup, mixing, packing, token_files, urls
+from . import crossent, dedup, extraction, jaccard, mixing, packing, partitions, quality, token_files, urls
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,12 +50,39 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitions.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the documents labelled as good and not toxic."""
+    target = read(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    return crossent.score_documents(read(spark, sf_dir, "documents"), target)
+
+
 @query
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame(RULES, "verdict STRING, host STRING, path STRING")
     return urls.judge_urls(read(spark, sf_dir, "pages"), listed)
 
 
+@query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
