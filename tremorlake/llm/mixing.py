@@ -48,11 +48,11 @@ def _placed(rows: DataFrame, light: DataFrame, weights: tuple[int, ...], most: i
     """``rows`` (with _mix_source, _mix_size, _mix_key, and any more columns) with _mix_epochs and _mix_part; ``light`` has the same rows."""
     sources = light.groupBy(F.col("_mix_source").alias("source")).agg(F.count("*").alias("n_rows"), F.sum("_mix_size").alias("source_size"))
     targets = stored(source_targets(sources, weights, most).select(
-        "source", "n_rows", F.col("rank").alias("_mix_rank"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target")), "targets")
-    cuts = F.ceil(F.col("n_rows") / rows_per_range).cast("bigint")
+        F.col("source").alias("_mix_of"), F.col("n_rows").alias("_mix_rows"), F.col("rank").alias("_mix_rank"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target")), "targets")
+    cuts = F.ceil(F.col("_mix_rows") / rows_per_range).cast("bigint")
 
     def ranged(some: DataFrame) -> DataFrame:
-        joined = some.join(targets, F.col("_mix_source").eqNullSafe(F.col("source")))
+        joined = some.join(targets, F.col("_mix_source").eqNullSafe(F.col("_mix_of")))
         return joined.select(*some.columns, "_mix_rank", "_mix_source_size", "_mix_target", F.shiftright(F.col("_mix_key") * cuts, 32).alias("_mix_range"))
 
     ranges = ranged(light).groupBy("_mix_rank", "_mix_range").agg(F.sum("_mix_size").alias("words")).withColumn("together", F.expr(f"_mix_range div {_RANGES_TOGETHER}"))
