@@ -72,6 +72,25 @@ def test_sample_table(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(date" in plan
 
 
+def test_sample_table_bounds_and_names(spark, tmp_path):
+    from datetime import timezone
+    path = str(tmp_path / "samples")
+    store.write_samples(rows(spark, [("007", "BHZ", 0, 1), ("007", "BHZ", 2000, 2)]), path)
+    assert {r["station"] for r in store.read_samples(spark, path).collect()} == {"007"}
+    middle = START.replace(tzinfo=UTC) + timedelta(seconds=1)
+    assert [r["data"] for r in store.read_samples(spark, path, start=middle).collect()] == [2.0]
+    assert [r["data"] for r in store.read_samples(spark, path, stop=middle).collect()] == [1.0]
+    jakarta = timezone(timedelta(hours=7))
+    late = START.replace(tzinfo=UTC) + timedelta(hours=9)
+    found = store.read_samples(spark, path, (late - timedelta(hours=10)).astimezone(jakarta), late.astimezone(jakarta))
+    assert sorted(r["data"] for r in found.collect()) == [1.0, 2.0]
+
+
+def test_rewritten_samples_count_once_in_frames(spark):
+    df = rows(spark, [("A", "BHZ", 0, 1), ("A", "BHZ", 0, 9), ("A", "BHZ", 40, 2)])
+    assert [r["values"] for r in frames.regroup(df).collect()] == [[9.0, 2.0]]
+
+
 def test_station_snapshots(spark, tmp_path):
     df = spark.createDataFrame([("A", None, 1.0, 2.0, ["B"])], "name string, description string, x double, y double, closest_stations array<string>")
     station_table.write_snapshot(df, str(tmp_path / "v1"))

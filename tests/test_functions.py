@@ -48,6 +48,11 @@ def test_two_decimals_toward_plus_infinity(spark, v, want):
 
 def test_clipping_truncates(spark):
     assert one(spark, text.clip_text(F.col("v"), 3), v=3.8753269) == "3.8"
+    assert one(spark, text.clip_text(F.col("v"), 5), v=0.0005) == "0.000"
+    assert one(spark, text.clip_text(F.col("v"), 5), v=-0.0005) == "-0.00"
+    assert one(spark, text.number_text(F.col("v")), v=12345678.5) == "12345678.5"
+    assert one(spark, text.number_text(F.col("v")), v=1e7) == "10000000"
+    assert one(spark, numbers.round_half_up_2(F.col("v")), v=1.005) == 1.01
     assert one(spark, text.clip_text(F.col("v"), 5), v=111.0) == "111"
     assert one(spark, text.clip_text(F.col("v"), 5), v=-9.10732508552112) == "-9.10"
 

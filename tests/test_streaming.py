@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -103,16 +104,78 @@ def test_consume_calls_its_handlers(spark, tmp_path):
     messages.publish(df, "raw", fmt="text", path=topic)
     spark.createDataFrame([("broken",)], "value string").write.mode("append").text(topic)
     stream = messages.subscribe(spark, schema, fmt="text", path=topic)
-    waits = []
+    counts = consume.DeliveryCounts()
+    spark.streams.addListener(counts)
     run = consume.consume(stream, str(tmp_path / "cp"), consume.table_handler(str(tmp_path / "good")),
-                          consume.table_handler(str(tmp_path / "bad")), waits.append)
+                          consume.table_handler(str(tmp_path / "bad")))
     run.awaitTermination()
-    assert consume.delivery_counts(run) == {"delivered": 2, "rejected": 1}
+    assert counts.of(run) == {"delivered": 2, "rejected": 1}
+    spark.streams.removeListener(counts)
     good = spark.read.parquet(str(tmp_path / "good"))
     assert sorted((r["station"], r["data"]) for r in good.collect()) == [("GMJI", 1.0), ("PWJI", 2.0)]
     assert [r["raw"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["broken"]
 
 
+def test_counts_go_beyond_the_kept_progress_and_idle_time_is_reported(spark, tmp_path):
+    kept, idle = "spark.sql.streaming.numRecentProgressUpdates", "spark.sql.streaming.noDataProgressEventInterval"
+    spark.conf.set(kept, "2")
+    spark.conf.set(idle, "300")
+    counts, waits = consume.DeliveryCounts(), []
+    spark.streams.addListener(counts)
+    try:
+        parts = [[(f'{{"k": {i}}}',), ("bad",)] for i in range(6)]
+        stream = write_in_order(spark, tmp_path, parts, "value string")
+        from tremorlake.functions.messages import decode_json
+        run = consume.consume(decode_json(stream, "k BIGINT"), str(tmp_path / "cp"), consume.table_handler(str(tmp_path / "good")),
+                              consume.table_handler(str(tmp_path / "bad")), waits.append, available_now=False)
+        run.processAllAvailable()
+        until = time.monotonic() + 20
+        while len(waits) < 2 and time.monotonic() < until:
+            time.sleep(0.1)
+        assert len(run.recentProgress) <= 2
+        run.stop()
+        assert counts.of(run) == {"delivered": 6, "rejected": 6}
+        assert waits[:2] == [1, 2]
+    finally:
+        spark.streams.removeListener(counts)
+        spark.conf.unset(kept)
+        spark.conf.unset(idle)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_read_a_file_or_a_folder_in_several_micro_batches(spark, tmp_path, files):
+    from tremorlake.plans import views
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    if files == 1:
+        out = tmp_path / "written"
+        events.coalesce(1).write.parquet(str(out))
+        next(p for p in out.iterdir() if p.suffix == ".parquet").rename(tmp_path / "events.parquet")
+    else:
+        events.repartition(files).write.parquet(str(tmp_path / "events.parquet"))
+    stream = views.stream_samples(spark, str(tmp_path), closing=True)
+    query = write_table(frames.stream_wide_frame(stream, ["BHZ_GMJI"], "2 seconds"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) >= 4
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == views.samples(spark, str(tmp_path)).where("station = 'GMJI' AND channel = 'BHZ'").count()
+
+
+def test_picks_of_a_batch_and_a_stream_agree_across_a_gap(spark, tmp_path):
+    x = np.concatenate([np.full(60, 0.1), np.full(20, 5.0)])
+    rows = rows_of(x.tolist()) + rows_of(x.tolist(), start=200)
+    rewritten = [(s, c, t, 0.0, -1) for s, c, t, _, _ in rows[60:80]]
+    stream = write_in_order(spark, tmp_path, [rows[:50], rewritten + rows[50:]], SAMPLE)
+    found = run_to_table(picker.stream_picks(stream, 5, 50, 2.5, 0.5), "picks").collect()
+    base = spark.range(1).select(F.unix_micros(F.lit(START))).first()[0]
+    live = sorted(((r["t_us"] - base) // 40_000, r["event"]) for r in found)
+    df = spark.createDataFrame(rows, SAMPLE).withColumn("idx", F.expr(f"(unix_micros(t) - {base}) div 40000"))
+    keys = ["station", "channel"]
+    runs = picks.gap_free_runs(df, keys, block=32)
+    stored = picks.trigger_intervals(picks.sta_lta(runs, [*keys, "segment"], 5, 50), [*keys, "segment"], 2.5, 0.5).collect()
+    assert sorted((r["segment"] + r["on_idx"], r["segment"] + r["off_idx"]) for r in stored) == [(60, 79), (260, 279)]
+    assert live == [(60, "on"), (79, "off"), (260, "on")]
+
+
 def test_a_failing_handler_fails_the_query(spark, tmp_path):
     spark.createDataFrame([('{"k": 1}',)], "value string").write.text(str(tmp_path / "topic"))
     stream = messages.subscribe(spark, "k BIGINT", fmt="text", path=str(tmp_path / "topic"))
@@ -140,6 +203,16 @@ def test_files_stream_into_records(spark, tmp_path):
     assert sorted(r["station"] for r in out.collect()) == ["S0", "S1", "S2"]
 
 
+def test_one_row_per_notification_however_many_traces(spark, tmp_path):
+    from tremorlake.sources import documents
+    trace = [("a", i, "IA", f"S{i}", "", "BHZ", START, START, 25.0, 0.04, 1, 1.0, [float(i)]) for i in range(70)]
+    from tremorlake.schemas import TRACE
+    docs = documents.trace_documents(spark.createDataFrame(trace, TRACE))
+    stream = write_in_order(spark, tmp_path, [[("a", "a.mseed")]], "mseed_name string, filename string")
+    out = run_to_table(consume.notifications_with_documents(stream, docs.select("name", F.size("traces").alias("n"))), "lookup70")
+    assert [r["n"] for r in out.collect()] == [70]
+
+
 def test_lookup_keeps_unknown_names(spark, tmp_path):
     stream = write_in_order(spark, tmp_path, [[("a", "a.mseed"), ("x", "x.mseed")]], "mseed_name string, filename string")
     docs = spark.createDataFrame([("a", 9)], "name string, n_traces int")

@@ -95,6 +95,28 @@ def test_damaged_files_give_an_error_row(spark):
     assert "encoding 99" in wrong[0]["error"]
 
 
+def test_records_behind_an_unusable_one_are_read(spark):
+    good = record(np.arange(4, dtype=">i4").tobytes(), 3, 4)
+    out = decoded(spark, good + record(b"text", 0, 4) + good + good)
+    assert [r["error"] is None for r in out] == [True, False, True, True]
+
+
+def test_a_log_channel_goes_to_the_error_table(spark):
+    log = record(np.arange(4, dtype=">i4").tobytes(), 3, 4, channel="LOG", rate=0)
+    good = record(np.arange(4, dtype=">i4").tobytes(), 3, 4)
+    records = waveform.decode_files(spark.createDataFrame([("f", bytearray(log + good))], "path string, content binary"))
+    assert [(r["record_no"], "rate" in r["error"]) for r in waveform.record_errors(records).collect()] == [(0, True)]
+    assert [r["channel"] for r in waveform.assemble_traces(records).collect()] == ["BHZ"]
+    assert waveform.record_samples(records).count() == 4
+
+
+def test_traces_without_usable_data_get_a_reason(spark):
+    rows = [("none", 100.0, None), ("gap", 100.0, [1.0, None] * 100), ("zero", 0.0, [1.0] * 200), ("norate", None, [1.0] * 200)]
+    df = spark.createDataFrame(rows, "channel string, sampling_rate double, data array<double>")
+    out = {r["channel"]: (r["reason"], r["data_interpolated"]) for r in waveform.process_traces(df).collect()}
+    assert out == {"none": ("no data", None), "gap": ("gap", None), "zero": ("no sampling rate", None), "norate": ("no sampling rate", None)}
+
+
 def test_records_join_until_a_gap(spark, tmp_path):
     values = np.arange(30, dtype=">f8")
     parts = [record(values[i:i + 10].tobytes(), 5, 10, us=START_US + at * 40_000) for i, at in ((0, 0), (10, 10), (20, 25))]

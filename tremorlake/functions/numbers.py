@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 AMPLITUDE_SCALE = 100000
 TARGET_RATE_HZ = 25
+# Fixed value: the distance from 1.0 to the next double.
+EPSILON = 2.0 ** -52
 
 
 def scale_amplitudes(values) -> Column:
@@ -15,8 +17,11 @@ def scale_amplitudes(values) -> Column:
 
 
 def round_half_up_2(v: Column) -> Column:
-    """Two decimals with ties toward plus infinity, which differs from ``round`` for negatives."""
-    return F.floor(v * 100 + F.lit(0.5)) / F.lit(100.0)
+    """Two decimals with ties toward plus infinity, which differs from ``round`` for negatives.
+
+    The machine epsilon added first lets values written with a 5 in the third decimal count as ties.
+    """
+    return F.floor((v + F.lit(EPSILON)) * 100 + F.lit(0.5)) / F.lit(100.0)
 
 
 def offset_samples(diff_us: Column, rate: Column) -> Column:

@@ -26,8 +26,10 @@ def text_to_array(text) -> Column:
 
 
 def number_text(v: Column) -> Column:
-    """The number as text without a trailing '.0'."""
-    return F.regexp_replace(v.cast("string"), r"\.0$", "")
+    """The number as text without a trailing '.0' and without an exponent (from 1e-18 to below 1e20)."""
+    text = v.cast("string")
+    plain = F.regexp_replace(v.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    return F.when(text.contains("E"), F.coalesce(plain, text)).otherwise(F.regexp_replace(text, r"\.0$", ""))
 
 
 def clip_text(v: Column, chars: int) -> Column:
@@ -45,6 +47,7 @@ def split_channel_key(key) -> tuple[Column, Column]:
     return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
 
 
+# The words of the popup.
 def alert_text(lat: Column, lon: Column, magnitude: Column, depth: Column, station: Column) -> Column:
     """The popup text of the alert map, with values rounded to two decimals."""
     lat, lon, magnitude, depth = (number_text(round_half_up_2(v)) for v in (lat, lon, magnitude, depth))

@@ -79,12 +79,19 @@ def unpivot_frame(frame: DataFrame, time: str = "_time") -> DataFrame:
     return long.select("t", channel.alias("channel"), station.alias("station"), "data")
 
 
+def written_last(points: Column, time: str = "t") -> Column:
+    """Of (time, ingest_seq, data) in order, the last one of each time, as (time, data)."""
+    last = F.filter(points, lambda p, i: (i == F.size(points) - 1) | (F.get(points, i + 1)[time] != p[time]))
+    return F.transform(last, lambda p: F.struct(p[time].alias(time), p["data"].alias("data")))
+
+
 def regroup(samples: DataFrame, time: str = "t") -> DataFrame:
-    """Per frame, station and channel: the values in time order."""
+    """Per frame, station and channel: the values in time order; of a sample written twice the last."""
     return (
         samples.withColumn("tick", tick_of(F.col(time)))
         .groupBy("tick", "station", "channel")
-        .agg(F.sort_array(F.collect_list(F.struct(time, "data"))).alias("points"))
+        .agg(F.sort_array(F.collect_list(F.struct(time, "ingest_seq", "data"))).alias("points"))
+        .withColumn("points", written_last(F.col("points"), time))
         .select("tick", "station", "channel", F.col(f"points.{time}").alias("times"), F.col("points.data").alias("values"))
     )
 

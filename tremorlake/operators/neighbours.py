@@ -134,9 +134,10 @@ def nearest(stations: DataFrame, k: int = K, leaf: int = LEAF_POSITIONS) -> Data
 
 
 def with_closest(stations: DataFrame, k: int = K) -> DataFrame:
-    """The station table with ``closest_stations`` recomputed for every row."""
+    """The station table with ``closest_stations`` recomputed for every row; one without a position has none."""
     found = nearest(stations, k).select("name", F.col("neighbours.name").alias("closest_stations"))
-    return stations.drop("closest_stations").join(found, "name")
+    with_found = stations.drop("closest_stations").join(found, "name", "left")
+    return with_found.withColumn("closest_stations", F.coalesce("closest_stations", F.array().cast("array<string>")))
 
 
 def neighbour_pairs(stations: DataFrame, k: int = K) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .blocks import prefix_over_blocks
+from .blocks import prefix_over_blocks, running
 
 # Window lengths in seconds and trigger thresholds.
 SHORT_SECONDS = 2.5
@@ -74,6 +74,19 @@ def sta_lta(samples: DataFrame, keys: Sequence[str], nsta: int, nlta: int, value
     return both.where(F.col("idx").isNotNull()).select(*keys, "idx", value, "sta", "lta", ratio.alias("ratio"), "_blk")
 
 
+def gap_free_runs(samples: DataFrame, keys: Sequence[str], block: int = MAX_BLOCK) -> DataFrame:
+    """Samples with ``segment``, the idx at which their gap-free run begins, and idx counted from there.
+
+    Averages and triggers of (keys, segment) start anew behind a gap, like those of a stream.
+    """
+    keys = list(keys)
+    by = F.floor(F.col("idx") / F.lit(block))
+    before = running(samples, keys, "idx", by, {"_before": (F.col("idx"), "max")}, inclusive=False)
+    begins = F.when(F.col("_before").isNull() | (F.col("idx") - F.col("_before") > 1), F.col("idx"))
+    runs = running(before.withColumn("_begin", begins), keys, "idx", by, {"segment": (F.col("_begin"), "max")})
+    return runs.drop("_before", "_begin").withColumn("idx", F.col("idx") - F.col("segment"))
+
+
 def trigger_intervals(ratios: DataFrame, keys: Sequence[str], on: float = TRIGGER_ON, off: float = TRIGGER_OFF) -> DataFrame:
     """(keys, on_idx, off_idx): from the first ratio above ``on`` to the last one before it falls to ``off`` or below.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import SECOND_US, micros
@@ -13,6 +13,9 @@ from .blocks import running
 HOUR_US = 3600 * SECOND_US
 
 
+LATENCY_BLOCK_MS = 4096
+
+
 def trace_totals(samples: DataFrame, keys: Sequence[str] = ("station", "channel")) -> DataFrame:
     """Per trace: number of samples, first and last time, mean step in seconds (null for a single sample)."""
     out = samples.groupBy(*keys).agg(F.count("*").alias("npts"), F.min("t").alias("starttime"), F.max("t").alias("endtime"))
@@ -45,12 +48,12 @@ def detection_latency(picks: DataFrame, predictions: DataFrame, keys: Sequence[s
 def latency_percentiles(latencies: DataFrame, by: Sequence[str], percents: Sequence[int] = (50, 95, 99)) -> DataFrame:
     """Exact percentiles (smallest value that covers the share) from a histogram of whole milliseconds.
 
-    Counting first leaves one row per distinct latency, however many detections a day has.
+    Counting first leaves one row per distinct latency, however many detections a day has; they are summed up in blocks.
     """
     counts = latencies.groupBy(*by, "latency_ms").agg(F.count("*").alias("n"))
-    day = Window.partitionBy(*by)
-    upto = day.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select(*by, "latency_ms", "n", F.sum("n").over(upto).alias("_upto"), F.sum("n").over(day).alias("_all"))
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
+    upto = running(counts, list(by), "latency_ms", F.floor(F.col("latency_ms") / F.lit(LATENCY_BLOCK_MS)), {"_upto": (F.col("n"), "sum")})
+    ranked = upto.join(totals, list(by))
     return ranked.groupBy(*by).agg(
         F.sum("n").alias("n"),
         *[F.min(F.when(F.col("_upto") * 100 >= F.col("_all") * p, F.col("latency_ms"))).alias(f"p{p}_ms") for p in percents])

@@ -3,6 +3,7 @@ recursions and windows instead of blocks, cells and carried state."""
 
 from __future__ import annotations
 
+from ..functions.numbers import EPSILON
 from ..operators.dsp import EDGE, bandpass_sections
 from ..schemas import CHANNELS, STATIONS
 from .queries import BAD_EVERY, KEYS, NLTA, NSTA, OFF, ON
@@ -79,7 +80,7 @@ def _text(value: str) -> str:
 
 
 def _two(value: str) -> str:
-    return _text(f"(floor({value} * 100 + 0.5) / 100)")
+    return _text(f"(floor(({value} + {EPSILON}) * 100 + 0.5) / 100)")
 
 
 def _points(value: str, order: str) -> str:
@@ -235,7 +236,6 @@ TRACES = SAMPLES + """, traces AS (
     list(CASE WHEN idx % 50 <> 0 THEN data END / 100000 ORDER BY idx) AS scaled, list(data ORDER BY idx) AS a
   FROM samples GROUP BY mseed_name, station, channel)"""
 
-STREAMED = "(SELECT max(t_us) - 2000000 FROM samples)"
 CUT = f"CASE WHEN event_id % {BAD_EVERY} = 0 THEN substr(props, 1, 4) ELSE props END"
 
 
@@ -293,9 +293,9 @@ SELECT file, station, channel, array_to_string(words, '') AS text, len(words) AS
   len(list_filter(words, lambda v: v = 'None ')) AS n_null,
   round(list_sum(list_transform(list_filter(words, lambda v: v <> 'None '), lambda v: CAST(trim(v) AS DOUBLE))), 8) + 0.0 AS total FROM texts""",
         "trace_document": f"""{w}{TRACES}, texts AS (SELECT *, list_sum(list_transform(a, lambda v: length(printf('%.10f ', v))))::BIGINT AS size FROM traces)
-SELECT file AS name, (trace_no // 4)::BIGINT AS part, count(*) AS n_traces, string_agg(trace_no || ':IA:' || station || ':' || channel || ':' || npts || ':'
+SELECT file AS name, count(*) AS n_traces, string_agg(trace_no || ':IA:' || station || ':' || channel || ':' || npts || ':'
   || strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%S.%f') || 'Z:' || size, ',' ORDER BY trace_no) AS traces
-FROM texts GROUP BY file, trace_no // 4""",
+FROM texts GROUP BY file""",
         "trace_metadata": f"""{w}{TRACES} SELECT 'IA' AS network, station, channel, '' AS location, start_us, end_us, 0.04::DOUBLE AS delta, npts,
   1.0::DOUBLE AS calib, 25.0::DOUBLE AS sampling_rate FROM traces""",
         "pair_distance": f"""{w}{STATION}, {_nearest('stations')}, linked AS (
@@ -356,14 +356,23 @@ FROM late GROUP BY day""",
         "event_decode": f"""{w}texts AS (SELECT event_id, {CUT} AS value FROM events)
 SELECT event_id, CASE WHEN json_valid(value) THEN CAST(json_extract(value, '$.k') AS BIGINT) END AS k,
   CASE WHEN NOT json_valid(value) THEN value END AS raw FROM texts""",
-        "event_json": f"""{w}{SAMPLES} SELECT station, channel, strftime(make_timestamp(t_us), '%Y-%m-%d %H:%M:%S.%f') AS time, data, ingest_seq,
-  1::BIGINT AS stamped FROM samples""",
+        "event_json": f"""{w}{SAMPLES} SELECT station, channel, strftime(make_timestamp(min(t_us) OVER (PARTITION BY mseed_name, station, channel)),
+  '%Y-%m-%d %H:%M:%S.%f') AS time, data, idx % {LOCAL} AS sample_no, 1::BIGINT AS stamped FROM samples""",
+        "binary_errors": f"""{w}{TRACES}, records AS (SELECT file, trace_no, npts, trace_no % 3 = 0 AS doubled FROM traces),
+  placed AS (SELECT *, row_number() OVER o - 1 + count(*) FILTER (WHERE doubled) OVER o AS last_no FROM records
+    WINDOW o AS (PARTITION BY file ORDER BY trace_no ROWS UNBOUNDED PRECEDING))
+SELECT file, sum(npts)::BIGINT AS n_samples, count(*) FILTER (WHERE doubled) AS n_errors, coalesce(sum(last_no) FILTER (WHERE doubled), 0)::BIGINT AS record_nos
+FROM placed GROUP BY file""",
+        "sample_table_from": f"""{w}{TIMED} SELECT station, channel, t_us, max_by(data, ingest_seq) AS data, max(ingest_seq) AS ingest_seq
+FROM timed WHERE ts >= TIMESTAMP '2024-01-09 12:00:00' GROUP BY station, channel, t_us""",
+        "sample_table_until": f"""{w}{TIMED} SELECT station, channel, t_us, max_by(data, ingest_seq) AS data, max(ingest_seq) AS ingest_seq
+FROM timed WHERE ts < TIMESTAMP '2024-01-09 12:00:00' GROUP BY station, channel, t_us""",
         "binary_ingest": f"""{w}{SAMPLES} SELECT mseed_name, station, channel, idx % {LOCAL} AS sample_no, t_us, data FROM samples""",
         "binary_samples": f"{w}{SAMPLES} SELECT mseed_name, station, channel, idx % {LOCAL} AS idx, t_us, data FROM samples",
-        "stream_frame": f"{w}{WIDE} SELECT tick, t_us, {', '.join(KEYS)} FROM wide WHERE t_us <= {STREAMED}",
+        "stream_frame": f"{w}{WIDE} SELECT tick, t_us, {', '.join(KEYS)} FROM wide",
         "stream_sliding": f"""{w}{SAMPLES}, shown AS (SELECT *, unnest(range(tick, tick + 4)) AS seen FROM samples)
 SELECT seen AS tick, station, channel, count(*) AS n, {_points('data', 't_us')} AS points FROM shown
-WHERE seen * 1000000 <= {STREAMED} GROUP BY seen, station, channel""",
+GROUP BY seen, station, channel""",
         "stream_picks": f"""{r}{SAMPLES}, {_ratios(['station', 'channel'], 'samples')}, ends AS (SELECT station, channel, max(idx) AS last FROM samples GROUP BY ALL)
 SELECT station, channel, 'on' AS event, {START_US} + on_idx * 40000 AS t_us FROM intervals
 UNION ALL SELECT station, channel, 'off', {START_US} + off_idx * 40000 FROM intervals JOIN ends USING (station, channel) WHERE off_idx < last""",
@@ -375,7 +384,7 @@ SELECT ingest_seq, mseed_name, filename, n_traces FROM sent LEFT JOIN docs ON do
         "stream_bad_rows": f"""{w}texts AS (SELECT {CUT} AS value FROM events)
 SELECT CASE WHEN json_valid(value) THEN CAST(json_extract(value, '$.k') AS BIGINT) END AS k,
   CASE WHEN NOT json_valid(value) THEN value END AS raw FROM texts""",
-        "stream_lag": "SELECT event_id AS ingest_seq, 1::BIGINT AS lagging FROM events",
+        "stream_lag": f"{w}{SAMPLES} SELECT ingest_seq, station, channel, t_us // 1000 AS event_ms, 1::BIGINT AS lagging FROM samples",
         "stream_ingest": f"""{w}{SAMPLES} SELECT mseed_name AS name, count(DISTINCT station || channel) AS n_traces, count(*) AS n_samples
 FROM samples GROUP BY mseed_name""",
     }

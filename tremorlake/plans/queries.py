@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from ..functions.times import SECOND_US, micros, snap_micros, tick_of
 from ..operators import alerts, align, frames, neighbours, picks, quality, signal
 from ..operators import stations as station_ops
 from ..schemas import CHANNELS, STATIONS
-from ..session import shared_path, ship_package
+from ..session import shared_path, ship_package, stored
 from ..sources import documents, messages, waveform
 from ..sources import samples as sample_store
 from ..sources import stations as station_table
@@ -233,11 +233,11 @@ def array_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def trace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents.trace_documents(views.traces(spark, sf_dir), per_document=4)
+    docs = documents.trace_documents(views.traces(spark, sf_dir))
     line = F.transform("traces", lambda t: F.concat_ws(
         ":", t["trace_no"].cast("string"), t["network"], t["station"], t["channel"], t["npts"].cast("string"),
         t["starttime"], F.length(t["data"]).cast("string")))
-    return docs.select("name", F.col("part").cast("bigint").alias("part"), F.size("traces").cast("bigint").alias("n_traces"),
+    return docs.select("name", F.size("traces").cast("bigint").alias("n_traces"),
                        F.array_join(line, ",").alias("traces"))
 
 
@@ -474,15 +474,15 @@ def event_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample events as messages, published and read back."""
-    rows = views.samples(spark, sf_dir).select(
-        "station", "channel", F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"), "data", "ingest_seq")
+    """Sample events as messages, published and read back; their time is the start of the trace they belong to."""
+    unrolled = signal.explode_traces(views.traces(spark, sf_dir))
+    rows = unrolled.select("station", "channel", F.date_format("trace_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"), "data", "sample_no")
     path = shared_path(spark, "topic")
     messages.publish(rows, "preprocessed", fmt="text", path=path)
-    schema = "station STRING, channel STRING, time STRING, data DOUBLE, ingest_seq BIGINT, injected_to_preprocessed_at STRING"
+    schema = "station STRING, channel STRING, time STRING, data DOUBLE, sample_no BIGINT, injected_to_preprocessed_at STRING"
     read = decode_json(spark.read.text(path), schema).select("message.*")
     stamped = F.col("injected_to_preprocessed_at").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{6}$")
-    return read.select("station", "channel", "time", "data", "ingest_seq", F.when(stamped, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("stamped"))
+    return read.select("station", "channel", "time", "data", "sample_no", F.when(stamped, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("stamped"))
 
 
 # Files
@@ -505,18 +505,47 @@ def binary_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("file").alias("mseed_name"), *TRACE, "idx", us(), "data")
 
 
+@query
+def binary_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that cannot be read, in files whose other records all are."""
+    decoded = waveform.decode_files(views.waveform_files(spark, sf_dir, with_unusable=True))
+    bad = waveform.record_errors(decoded).groupBy("file").agg(F.count("*").alias("n_errors"), F.sum("record_no").alias("record_nos"))
+    good = waveform.record_samples(decoded).groupBy("file").agg(F.count("*").alias("n_samples"))
+    return good.join(bad, "file", "left").select("file", "n_samples", F.coalesce("n_errors", F.lit(0)).alias("n_errors"), F.coalesce("record_nos", F.lit(0)).alias("record_nos"))
+
+
+@query
+def sample_table_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample table from a time on."""
+    return _bounded_table(spark, sf_dir, start=datetime(2024, 1, 9, 12, tzinfo=UTC))
+
+
+@query
+def sample_table_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample table up to a time given in another zone."""
+    return _bounded_table(spark, sf_dir, stop=datetime(2024, 1, 9, 19, tzinfo=timezone(timedelta(hours=7))))
+
+
+def _bounded_table(spark: SparkSession, sf_dir: str, **bounds: datetime) -> DataFrame:
+    path = shared_path(spark, "samples")
+    sample_store.write_samples(views.timed_samples(spark, sf_dir), path)
+    read = sample_store.read_samples(spark, path, **bounds)
+    return read.select("station", "channel", us(), "data", "ingest_seq")
+
+
 # Streams
 
 
 @query
 def stream_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = stream_frames.stream_wide_frame(views.stream_samples(spark, sf_dir), KEYS, STREAM_DELAY)
+    wide = stream_frames.stream_wide_frame(views.stream_samples(spark, sf_dir, closing=True), KEYS, STREAM_DELAY)
     return run_to_table(wide, "stream-frame").select("tick", us(), *KEYS)
 
 
 @query
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = run_to_table(stream_frames.stream_sliding_frame(views.stream_samples(spark, sf_dir), STREAM_DELAY), "stream-sliding")
+    rows = views.stream_samples(spark, sf_dir, closing=True)
+    held = run_to_table(stream_frames.stream_sliding_frame(rows, STREAM_DELAY), "stream-sliding")
     return held.select(F.floor(micros("frame_end") / F.lit(SECOND_US)).cast("bigint").alias("tick"), "station", "channel",
                        F.size("points").cast("bigint").alias("n"), array_to_text("points.data").alias("points"))
 
@@ -529,16 +558,15 @@ def stream_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "latest")
-    frames.latest_row(views.station_frames(spark, sf_dir)).write.parquet(path)
-    latest = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return run_to_table(stream_alerts.stream_alerts(latest), "stream-alerts")
+    latest = stored(frames.latest_row(views.station_frames(spark, sf_dir)), "latest")
+    return run_to_table(stream_alerts.stream_alerts(views.staged_stream(latest, "tick", "staged-latest")), "stream-alerts")
 
 
 @query
 def stream_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notifications on a stream, each with the document of its recording."""
-    docs = documents.trace_documents(views.traces(spark, sf_dir)).select("name", F.size("traces").alias("n_traces"))
+    # Written first, or every micro-batch would make the documents anew.
+    docs = stored(documents.trace_documents(views.traces(spark, sf_dir)).select("name", F.size("traces").alias("n_traces")), "documents")
     sent = views.stream_samples(spark, sf_dir).select(
         F.when(F.col("ingest_seq") % 7 != 0, F.col("mseed_name")).otherwise(F.lit("unknown")).alias("mseed_name"),
         F.concat("mseed_name", F.lit(".mseed")).alias("filename"), "ingest_seq")
@@ -549,8 +577,7 @@ def stream_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages and bad rows of a consumed stream, as the two handlers wrote them."""
-    schema = views.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = views.staged_stream(views.table(spark, sf_dir, "events").select("event_id", "props"), "event_id", "staged-events")
     path = shared_path(spark, "consumed")
     run = stream_consume.consume(
         decode_json(_texts(events), "k BIGINT"), f"{path}/checkpoint",
@@ -566,7 +593,10 @@ def stream_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Injection stamps on a stream, with the lag checked against the stamp."""
     found = run_to_table(stream_frames.with_lag(views.stream_samples(spark, sf_dir)), "stream-lag")
     lag = F.unix_millis("injected_to_preprocessed_at") - F.unix_millis("t")
-    return found.select("ingest_seq", F.when((lag == F.col("lag_ms")) & (lag > 0), F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("lagging"))
+    # The event's time as the stamp less the lag gives it, which is the sample's own time.
+    back = F.unix_millis("injected_to_preprocessed_at") - F.col("lag_ms")
+    return found.select("ingest_seq", "station", "channel", back.alias("event_ms"),
+                        F.when((lag == F.col("lag_ms")) & (lag > 0), F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("lagging"))
 
 
 @query

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.times import SAMPLE_STEP_US, SECOND_US, tick_of
 from ..schemas import CHANNELS, PREDICTION, STATIONS
+from ..session import shared_path
+from ..streaming.runs import replay_stream
 
 # Fixed value: the instant the replay starts at, 2015-08-20 15:12:01 UTC.
 START_US = 1_440_083_521_000_000
@@ -36,7 +38,7 @@ def recording_name(us: Column) -> Column:
 
 
 def as_samples(events: DataFrame) -> DataFrame:
-    """Nine 25 Hz traces by event number, cut into recordings of 20 s; works on batch and stream."""
+    """Nine 25 Hz traces by event number, cut into recordings of 20 s."""
     event_id = F.col("event_id")
     rows = events.select(
         event_id.alias("ingest_seq"),
@@ -55,10 +57,32 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_samples(table(spark, sf_dir, "events"))
 
 
-def stream_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows as a stream over the events file."""
-    schema = table(spark, sf_dir, "events").schema
-    return as_samples(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+def staged_stream(rows: DataFrame, order: str, label: str, closing: DataFrame | None = None, slices: int = 3,
+                  files: int = 2) -> DataFrame:
+    """The rows as a stream of one micro-batch per slice of ``order`` (whole numbers), the rows of ``closing`` in a last one.
+
+    A stored table may be one file or a folder of any number, in any order. Written slice by slice, with the same number
+    of files each, it replays in order and state goes from one micro-batch to the next.
+    """
+    spark = rows.sparkSession
+    path = shared_path(spark, label)
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    step = 1 if low is None else (high - low) // slices + 1
+    for i in range(slices if low is not None else 0):
+        part = rows.where(F.col(order).between(low + i * step, low + (i + 1) * step - 1))
+        part.repartitionByRange(files, order).write.mode("append").parquet(path)
+    for last in [closing] if closing is not None else []:
+        last.coalesce(1).write.mode("append").parquet(path)
+    return replay_stream(spark, path, rows.schema, files)
+
+
+def stream_samples(spark: SparkSession, sf_dir: str, closing: bool = False) -> DataFrame:
+    """The same rows as a stream. With ``closing`` a row of each trace an hour after its last one pushes the watermark past the end
+    (whichever traces a query filters); these stay in the stream's state and so out of what is emitted when its time is over."""
+    rows = samples(spark, sf_dir)
+    last = rows.groupBy("station", "channel").agg(F.max_by(F.struct(*rows.columns), "ingest_seq").alias("r")).select("r.*")
+    later = last.withColumn("t", F.col("t") + F.expr("INTERVAL 1 HOUR"))
+    return staged_stream(rows, "ingest_seq", "staged-samples", later.select(*rows.columns) if closing else None)
 
 
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,16 +178,19 @@ def _encode_record(number: int, station: str, channel: str, start_us: int, rate:
     return head.ljust(64, b"\0") + struct.pack(f">{len(values)}d", *values).ljust(4032, b"\0")
 
 
-def waveform_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): the recordings as waveform files, one record per trace."""
+def waveform_files(spark: SparkSession, sf_dir: str, with_unusable: bool = False) -> DataFrame:
+    """(path, content): the recordings as waveform files, one record per trace; on request with a text record behind every third trace."""
     def run(batches):
         for batch in batches:
             content = [_encode_record(n, s, c, us, 25, x) for n, s, c, us, x in zip(
                 batch["trace_no"], batch["station"], batch["channel"], batch["start_us"], batch["data"])]
+            if with_unusable:
+                # Fixed value: encoding 0 is text, its code stands at byte 52.
+                content = [r + r[:52] + b"\0" + r[53:] if n % 3 == 0 else r for n, r in zip(batch["trace_no"], content)]
             yield pd.DataFrame({"path": batch["file"], "no": batch["trace_no"], "content": content})
 
     rows = traces(spark, sf_dir).select("file", "trace_no", "station", "channel",
                                         F.unix_micros("starttime").alias("start_us"), "data")
     records = rows.mapInPandas(run, "path string, no int, content binary")
-    joined = records.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("no", "content"))).alias("r"))
-    return joined.select("path", F.aggregate("r", F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b["content"])).alias("content"))
+    joined = records.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("no", F.hex("content").alias("content")))).alias("r"))
+    return joined.select("path", F.unhex(F.array_join("r.content", "")).alias("content"))

@@ -7,19 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import array_to_text
 
-TRACES_PER_DOCUMENT = 64
 
+def trace_documents(traces: DataFrame) -> DataFrame:
+    """(name, traces): one document per file, its traces in trace order, sample arrays as text.
 
-def trace_documents(traces: DataFrame, per_document: int = TRACES_PER_DOCUMENT) -> DataFrame:
-    """(name, part, traces): the traces of a file in trace order, sample arrays as text.
-
-    A file with more than ``per_document`` traces goes on in further parts, so a document stays bounded.
+    A document holds what one file holds. For files beyond a row's size use the trace rows themselves.
     """
     trace = F.struct(
         "trace_no", "network", "station", "location", "channel",
         F.date_format("starttime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("starttime"),
         F.date_format("endtime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("endtime"),
         "sampling_rate", "delta", "npts", "calib", array_to_text("data").alias("data"))
-    part = F.floor(F.col("trace_no") / F.lit(per_document)).cast("int")
-    rows = traces.select(F.col("file").alias("name"), part.alias("part"), trace.alias("trace"))
-    return rows.groupBy("name", "part").agg(F.array_sort(F.collect_list("trace")).alias("traces"))
+    rows = traces.select(F.col("file").alias("name"), trace.alias("trace"))
+    return rows.groupBy("name").agg(F.array_sort(F.collect_list("trace")).alias("traces"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.frames import last_write, time_range
+from ..operators.frames import last_write
+from ..schemas import SAMPLE
+
+
+def _utc(at: datetime) -> datetime:
+    return at.astimezone(UTC) if at.tzinfo else at.replace(tzinfo=UTC)
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
@@ -15,17 +20,23 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
     The rebalance hint lets adaptive execution cut a hot station's partition into several files and join small ones.
     """
-    rows = samples.withColumn("date", F.to_date("t"))
+    rows = samples.withColumn("date", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros("t") / 86_400_000_000).cast("int")))
     rows.hint("rebalance", "date", "station").write.mode("append").partitionBy("date", "station").parquet(path)
 
 
 def read_samples(spark: SparkSession, path: str, start: datetime | None = None, stop: datetime | None = None,
                  stations: list[str] | None = None) -> DataFrame:
-    """Samples with start <= t < stop; only the partitions of those dates and stations are read."""
-    rows = spark.read.parquet(path)
-    if start is not None and stop is not None:
-        rows = rows.where(F.col("date").between(F.lit(start.date()), F.lit(stop.date())))
-        rows = time_range(rows, F.lit(start), F.lit(stop))
+    """Samples with start <= t < stop, each bound by itself; only the partitions of those dates and stations are read.
+
+    A bound with a time zone is converted to UTC, one without is taken as UTC, like the table's dates.
+    """
+    rows = spark.read.schema(f"{SAMPLE}, date DATE").parquet(path)
+    if start is not None:
+        at = _utc(start)
+        rows = rows.where((F.col("date") >= F.lit(at.date())) & (F.col("t") >= F.lit(at)))
+    if stop is not None:
+        at = _utc(stop)
+        rows = rows.where((F.col("date") <= F.lit(at.date())) & (F.col("t") < F.lit(at)))
     if stations is not None:
         rows = rows.where(F.col("station").isin(stations))
     return last_write(rows)

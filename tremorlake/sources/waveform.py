@@ -57,14 +57,19 @@ def _differences(frames: np.ndarray, encoding: int, count: int) -> np.ndarray:
     return out.astype(float)
 
 
+class UnusableRecord(Exception):
+    """A record that ends where it says, but whose content cannot be read."""
+
+    def __init__(self, length: int, reason: str):
+        super().__init__(reason)
+        self.length = length
+
+
 def _record(buf: bytes, at: int) -> tuple[int, dict]:
     """The record at an offset: its length in bytes and its fields."""
     year = struct.unpack_from(">H", buf, at + 20)[0]
     order = ">" if 1900 <= year <= 2100 else "<"
-    year, day, hour, minute, second, fraction = struct.unpack_from(order + "HHBBBxH", buf, at + 20)
-    count, factor, multiplier = struct.unpack_from(order + "Hhh", buf, at + 30)
-    correction, data_at, link = struct.unpack_from(order + "iHH", buf, at + 40)
-    applied = buf[at + 36] & 2
+    link = struct.unpack_from(order + "H", buf, at + 46)[0]
     length, encoding, word_order, rate, micro = 0, None, ">", None, 0
     while link:
         kind, following = struct.unpack_from(order + "HH", buf, at + link)
@@ -78,6 +83,18 @@ def _record(buf: bytes, at: int) -> tuple[int, dict]:
         link = following
     if not length:
         raise ValueError("record without its length and encoding")
+    try:
+        return length, _fields(buf, at, order, length, encoding, word_order, rate, micro)
+    except (struct.error, ValueError, KeyError, IndexError, OverflowError) as e:
+        raise UnusableRecord(length, str(e)) from e
+
+
+def _fields(buf: bytes, at: int, order: str, length: int, encoding: int, word_order: str, rate: float | None, micro: int) -> dict:
+    """The fields of a record whose length is known."""
+    year, day, hour, minute, second, fraction = struct.unpack_from(order + "HHBBBxH", buf, at + 20)
+    count, factor, multiplier = struct.unpack_from(order + "Hhh", buf, at + 30)
+    correction, data_at = struct.unpack_from(order + "iH", buf, at + 40)
+    applied = buf[at + 36] & 2
     if rate is None:
         rate = (factor if factor > 0 else -1 / factor if factor else 0.0)
         rate *= multiplier if multiplier > 0 else -1 / multiplier if multiplier else 0.0
@@ -91,16 +108,21 @@ def _record(buf: bytes, at: int) -> tuple[int, dict]:
     else:
         raise ValueError(f"unknown sample encoding {encoding}")
     text = [buf[at + a:at + b].decode("ascii", "replace").strip() for a, b in ((18, 20), (8, 13), (13, 15), (15, 18))]
-    return length, dict(zip(("network", "station", "location", "channel"), text), start_us=start_us,
-                        sampling_rate=float(rate), npts=int(count), data=data)
+    return dict(zip(("network", "station", "location", "channel"), text), start_us=start_us, sampling_rate=float(rate),
+                npts=int(count), data=data)
 
 
 def _records(path: str, content: bytes) -> Iterator[dict]:
-    """The records of a file in order; bytes that are no record end the file with an error row."""
+    """The records of a file in order. A record that cannot be read becomes an error row and the next one follows; only bytes
+    that do not even tell a record's length end the file."""
     at, number = 0, 0
     while at < len(content):
         try:
             length, fields = _record(content, at)
+        except UnusableRecord as e:
+            yield {"file": path, "record_no": number, "data": None, "error": f"byte {at}: {e}"}
+            at, number = at + e.length, number + 1
+            continue
         except (struct.error, ValueError, KeyError, IndexError, OverflowError) as e:
             yield {"file": path, "record_no": number, "data": None, "error": f"byte {at}: {e}"}
             return
@@ -136,6 +158,13 @@ def stream_files(spark: SparkSession, path: str, glob: str = "*", files_per_trig
             .option("maxFilesPerTrigger", files_per_trigger).load(path))
 
 
+def record_errors(records: DataFrame) -> DataFrame:
+    """The error table beside the data (file, record_no, error): unreadable records, and samples without a rate (log channels)."""
+    no_rate = F.col("error").isNull() & (F.col("npts") > 0) & ~(F.col("sampling_rate") > 0)
+    reason = F.coalesce("error", F.when(no_rate, F.lit("samples without a sampling rate")))
+    return records.select("file", "record_no", reason.alias("error")).where(F.col("error").isNotNull())
+
+
 def _channel_id() -> list[str]:
     return ["file", "network", "station", "location", "channel"]
 
@@ -148,7 +177,7 @@ def number_segments(records: DataFrame) -> DataFrame:
     order = Window.partitionBy(*_channel_id()).orderBy("start_us", "record_no")
     step = F.lit(1_000_000.0) / F.col("sampling_rate")
     stop = F.col("start_us") + F.col("npts") * step
-    rows = records.where(F.col("error").isNull() & (F.col("npts") > 0)).withColumn("_stop", F.lag(stop).over(order))
+    rows = records.where(F.col("error").isNull() & (F.col("npts") > 0) & (F.col("sampling_rate") > 0)).withColumn("_stop", F.lag(stop).over(order))
     rate_changed = F.lag("sampling_rate").over(order) != F.col("sampling_rate")
     jump = F.col("_stop").isNull() | rate_changed | (F.abs(F.col("start_us") - F.col("_stop")) > step / 2)
     return rows.withColumn("segment", F.sum(jump.cast("int")).over(order)).drop("_stop")
@@ -195,8 +224,13 @@ def process_traces(traces: DataFrame) -> DataFrame:
     """
     columns = traces.columns
 
-    def one(x: np.ndarray, fs: float) -> tuple[np.ndarray | None, str | None]:
-        reason = dsp.bandpass_reason(len(x), fs)
+    def one(values, fs: float) -> tuple[np.ndarray | None, str | None]:
+        if values is None:
+            return None, "no data"
+        x = np.asarray(values, dtype=float)
+        if np.isnan(x).any():
+            return None, "gap"
+        reason = "no sampling rate" if not fs > 0 else dsp.bandpass_reason(len(x), fs)
         if reason:
             return None, reason
         y = dsp.zero_phase(x, fs)
@@ -205,7 +239,7 @@ def process_traces(traces: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [one(np.asarray(x, dtype=float), float(fs)) for x, fs in zip(batch["data"], batch["sampling_rate"])]
+            done = [one(x, float(fs) if fs is not None else 0.0) for x, fs in zip(batch["data"], batch["sampling_rate"])]
             batch = batch[columns].assign(data_interpolated=[d for d, _ in done], reason=[r for _, r in done])
             yield batch.assign(sampling_rate=float(TARGET_RATE_HZ))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import tick_of
-from ..operators.frames import wide_frame
+from ..operators.frames import wide_frame, written_last
 
 DEFAULT_DELAY = "10 seconds"
 
@@ -24,10 +24,10 @@ def stream_wide_frame(samples: DataFrame, keys: Sequence[str], delay: str = DEFA
 
 def stream_sliding_frame(samples: DataFrame, delay: str = DEFAULT_DELAY, length: str = "4 seconds",
                          step: str = "1 second") -> DataFrame:
-    """Per station and channel the values of the last four seconds, every second, in time order."""
+    """Per station and channel the values of the last four seconds, every second, in time order; of a sample written twice the last."""
     sliding = samples.withWatermark("t", delay).groupBy(F.window("t", length, step), "station", "channel").agg(
-        F.sort_array(F.collect_list(F.struct("t", "data"))).alias("points"))
-    return sliding.select(F.col("window.end").alias("frame_end"), "station", "channel", "points")
+        F.sort_array(F.collect_list(F.struct("t", "ingest_seq", "data"))).alias("points"))
+    return sliding.select(F.col("window.end").alias("frame_end"), "station", "channel", written_last(F.col("points")).alias("points"))
 
 
 def with_lag(stream: DataFrame, time: str = "t", topic: str = "preprocessed") -> DataFrame:

@@ -51,11 +51,12 @@ def stream_picks(samples: DataFrame, nsta: int, nlta: int, on: float = TRIGGER_O
                  step_us: int = SAMPLE_STEP_US) -> DataFrame:
     """(station, channel, event, t_us): ``on`` at the onset, ``off`` at the last sample of the trigger.
 
-    A gap closes an open trigger and starts the averages anew. Samples at or before the last one seen are left out.
+    A gap closes an open trigger and starts the averages anew. Of a sample written twice in a micro-batch the last write counts;
+    samples at or before the last one seen are left out.
     """
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else FRESH
-        rows = pd.concat(list(batches)).drop_duplicates("t_us", keep="last").sort_values("t_us")
+        rows = pd.concat(list(batches)).sort_values(["t_us", "ingest_seq"]).drop_duplicates("t_us", keep="last")
         if held[4] is not None:
             rows = rows[rows["t_us"] > held[4]]
         us, x = rows["t_us"].to_numpy(), rows["data"].to_numpy(dtype=float)
@@ -76,6 +77,7 @@ def stream_picks(samples: DataFrame, nsta: int, nlta: int, on: float = TRIGGER_O
         yield pd.DataFrame({"station": key[0], "channel": key[1], "event": [e for e, _ in edges],
                             "t_us": np.array([t for _, t in edges], dtype="int64")})
 
-    rows = samples.select("station", "channel", F.unix_micros("t").alias("t_us"), "data")
+    written = F.col("ingest_seq") if "ingest_seq" in samples.columns else F.lit(0)
+    rows = samples.select("station", "channel", F.unix_micros("t").alias("t_us"), written.cast("bigint").alias("ingest_seq"), "data")
     return rows.groupBy("station", "channel").applyInPandasWithState(
         run, PICK_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)

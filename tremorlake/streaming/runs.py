@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..session import shared_path
 
 
-@contextmanager
-def state_partitions(spark: SparkSession) -> Iterator[None]:
-    """In one local process, start streams with as many state partitions as there are cores; else leave the setting."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    cores = spark.sparkContext.defaultParallelism
-    local = spark.sparkContext.master.startswith("local") and int(before) > cores
-    if local:
-        spark.conf.set("spark.sql.shuffle.partitions", str(cores))
-    try:
-        yield
-    finally:
-        if local:
-            spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
-def replay_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
+def replay_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1) -> DataFrame:
     """A stored sample table as a stream, a few files per micro-batch in the order of their modification times."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
@@ -42,10 +25,12 @@ def write_table(stream: DataFrame, path: str, checkpoint: str, available_now: bo
 
 
 def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over what is available now and read the table it wrote."""
+    """Run a stream over what is available now and read the table it wrote.
+
+    The number of state partitions is the session's ``spark.sql.shuffle.partitions`` when the stream first starts.
+    """
     spark = stream.sparkSession
     path = shared_path(spark, label)
-    with state_partitions(spark):
-        query = write_table(stream, f"{path}/table", f"{path}/checkpoint")
-        query.awaitTermination()
+    query = write_table(stream, f"{path}/table", f"{path}/checkpoint")
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
