@@ -253,16 +253,16 @@ def all_oracles() -> dict[str, str]:
         "frame_unpivot": f"{w}{SAMPLES} SELECT t_us, channel, station, data FROM samples",
         "frame_regroup": f"{w}{SAMPLES} SELECT tick, station, channel, count(*) AS n, {_points('data', 't_us')} AS points FROM samples GROUP BY ALL",
         "frame_nested": f"""{w}{SAMPLES} SELECT tick, count(DISTINCT station) AS n_stations, count(DISTINCT station || channel) AS n_series,
-  min_by(data, t_us) FILTER (WHERE station = 'GMJI' AND channel = 'BHZ') AS first_gmji_bhz FROM samples GROUP BY tick""",
-        "frame_map": f"""{w}{SAMPLES} SELECT t_us, count(*) AS n, max(CASE WHEN station = 'PWJI' AND channel = 'BHZ' THEN data END) AS BHZ_PWJI
-  FROM samples GROUP BY t_us""",
+  {", ".join(f"string_agg(printf('%.10f ', data), '' ORDER BY t_us) FILTER (WHERE channel || '_' || station = '{k}') AS {k}" for k in KEYS)}
+FROM samples GROUP BY tick""",
+        "frame_map": f"""{w}{SAMPLES} SELECT t_us, count(*) AS n, {WIDE_COLUMNS} FROM samples GROUP BY t_us""",
         "frame_channel_zip": f"{w}{zipped} SELECT station, t_us, BHE, BHN, BHZ FROM zipped",
         "frame_json": f"""{w}{WIDE}, long AS ({json_series}),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY tick, series ORDER BY t_us) - 1 AS n FROM long)
 SELECT tick, series, '{{' || string_agg('"' || n || '":' || v, ',' ORDER BY n) || '}}' AS json FROM numbered GROUP BY tick, series""",
         "rolling_buffer": f"""{w}{zipped}, own AS (SELECT DISTINCT station, tick FROM zipped)
 SELECT o.station, o.tick, greatest(100 - (o.tick - {START_US // 1_000_000}) * 25, 0) AS padding, count(*) AS n, min(z.t_us) AS first_us,
-  {_points('z.BHZ', 'z.t_us').replace("printf('%.10f ', z.BHZ)", "coalesce(printf('%.10f ', z.BHZ), 'None ')")} AS bhz
+  {", ".join(f"string_agg(coalesce(printf('%.10f ', z.{c}), 'None '), '' ORDER BY z.t_us) AS {c.lower()}" for c in CHANNELS)}
 FROM own o JOIN zipped z ON z.station = o.station AND z.tick BETWEEN o.tick - 3 AND o.tick GROUP BY o.station, o.tick""",
         "replay_ticks": f"""{w}{SAMPLES}, ticks AS (SELECT unnest(range({START_US // 1_000_000}, (SELECT max(tick) + 1 FROM samples))) AS tick)
 SELECT k.tick, count(s.tick) AS n_rows, count(DISTINCT s.station || s.channel) AS n_channels
@@ -377,6 +377,8 @@ GROUP BY seen, station, channel""",
 SELECT station, channel, 'on' AS event, {START_US} + on_idx * 40000 AS t_us FROM intervals
 UNION ALL SELECT station, channel, 'off', {START_US} + off_idx * 40000 FROM intervals JOIN ends USING (station, channel) WHERE off_idx < last""",
         "stream_alert": f"""{r}{PANEL} SELECT mseed_name, tick, 'detected' AS event, station FROM steps WHERE detected
+UNION ALL SELECT mseed_name, tick, 'reset', NULL FROM steps WHERE before AND reset""",
+        "stream_alert_map": f"""{r}{MAP} SELECT mseed_name, tick, 'detected' AS event, station FROM steps WHERE detected
 UNION ALL SELECT mseed_name, tick, 'reset', NULL FROM steps WHERE before AND reset""",
         "stream_lookup": f"""{w}{SAMPLES}, docs AS (SELECT mseed_name AS name, count(DISTINCT station || channel) AS n_traces FROM samples GROUP BY ALL),
 sent AS (SELECT ingest_seq, CASE WHEN ingest_seq % 7 <> 0 THEN mseed_name ELSE 'unknown' END AS mseed_name, mseed_name || '.mseed' AS filename FROM samples)

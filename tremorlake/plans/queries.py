@@ -92,16 +92,15 @@ def frame_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def frame_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = frames.nested_frame(views.samples(spark, sf_dir))
-    first = F.get(F.col("stations")["GMJI"]["BHZ"], F.lit(0))
     return nested.select("tick", F.size("stations").cast("bigint").alias("n_stations"),
                          F.aggregate(F.map_values("stations"), F.lit(0), lambda a, m: a + F.size(m)).cast("bigint").alias("n_series"),
-                         first.alias("first_gmji_bhz"))
+                         *[array_to_text(F.col("stations")[s][c]).alias(f"{c}_{s}") for c in CHANNELS for s in STATIONS])
 
 
 @query
 def frame_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = frames.map_frame(views.samples(spark, sf_dir))
-    return found.select(us(), F.size("frame").cast("bigint").alias("n"), F.col("frame")["BHZ_PWJI"].alias("BHZ_PWJI"))
+    return found.select(us(), F.size("frame").cast("bigint").alias("n"), *[F.col("frame")[k].alias(k) for k in KEYS])
 
 
 @query
@@ -122,7 +121,7 @@ def rolling_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = F.col("buffer")
     return held.select("station", "tick", F.col("padding").cast("bigint").alias("padding"),
                        F.size(points).cast("bigint").alias("n"), us(points[0]["t"], "first_us"),
-                       array_to_text(points["BHZ"]).alias("bhz"))
+                       *[array_to_text(points[c]).alias(c.lower()) for c in CHANNELS])
 
 
 @query
@@ -474,13 +473,13 @@ def event_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample events as messages, published and read back; their time is the start of the trace they belong to."""
+    """Sample events as messages, published and subscribed to; their time is the start of the trace they belong to."""
     unrolled = signal.explode_traces(views.traces(spark, sf_dir))
     rows = unrolled.select("station", "channel", F.date_format("trace_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"), "data", "sample_no")
     path = shared_path(spark, "topic")
     messages.publish(rows, "preprocessed", fmt="text", path=path)
     schema = "station STRING, channel STRING, time STRING, data DOUBLE, sample_no BIGINT, injected_to_preprocessed_at STRING"
-    read = decode_json(spark.read.text(path), schema).select("message.*")
+    read = run_to_table(messages.subscribe(spark, schema, fmt="text", path=path).select("message.*"), "subscribed")
     stamped = F.col("injected_to_preprocessed_at").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{6}$")
     return read.select("station", "channel", "time", "data", "sample_no", F.when(stamped, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("stamped"))
 
@@ -556,10 +555,19 @@ def stream_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_table(found, "stream-picks")
 
 
+def _live_alerts(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    latest = stored(frames.latest_row(views.station_frames(spark, sf_dir)), "latest")
+    return run_to_table(stream_alerts.stream_alerts(views.staged_stream(latest, "tick", "staged-latest"), rule=rule), "stream-alerts")
+
+
 @query
 def stream_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = stored(frames.latest_row(views.station_frames(spark, sf_dir)), "latest")
-    return run_to_table(stream_alerts.stream_alerts(views.staged_stream(latest, "tick", "staged-latest")), "stream-alerts")
+    return _live_alerts(spark, sf_dir, "panel")
+
+
+@query
+def stream_alert_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _live_alerts(spark, sf_dir, "map")
 
 
 @query

@@ -16,13 +16,16 @@ ALERT_SCHEMA = "mseed_name STRING, tick BIGINT, event STRING, station STRING"
 STATE_SCHEMA = "found BOOLEAN, last_tick BIGINT, pending STRING"
 
 
-def stream_alerts(latest: DataFrame, stations: Sequence[str] = PRIORITY) -> DataFrame:
+def stream_alerts(latest: DataFrame, stations: Sequence[str] = PRIORITY, rule: str = "panel", wait_ticks: int = 3600) -> DataFrame:
     """(mseed_name, tick, event, station) with event ``detected`` or ``reset``.
 
     ``latest`` has the last row of each station's frame (mseed_name, station, tick, p_Arrival, data_prediction). A
     tick counts once all stations have sent theirs; incomplete ticks wait in the state until a later tick is
-    complete. The rules are those of ``operators.alerts`` with the panel reset.
+    complete, and for ``wait_ticks`` behind the newest one at most. The rules are those of ``operators.alerts``; ``rule`` names the
+    reset, that of the panel or the map.
     """
+    if rule not in ("panel", "map"):
+        raise ValueError(f"unknown rule {rule}")
     order = list(stations)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,8 +38,8 @@ def stream_alerts(latest: DataFrame, stations: Sequence[str] = PRIORITY) -> Data
         out = []
         for tick in sorted(t for t, seen in ticks.items() if len(seen) == len(order)):
             seen = ticks[tick]
-            reset = not seen[RESET_STATION][0]
             detecting = [s for s in order if seen[s][1]]
+            reset = not seen[RESET_STATION][0] if rule == "panel" else not detecting
             if detecting and not found:
                 out.append((key[0], tick, "detected", detecting[-1]))
                 found = True
@@ -44,7 +47,8 @@ def stream_alerts(latest: DataFrame, stations: Sequence[str] = PRIORITY) -> Data
                 out.append((key[0], tick, "reset", None))
                 found = False
             last_tick = tick
-        waiting = {t: seen for t, seen in ticks.items() if last_tick is None or t > last_tick}
+        oldest = max([*ticks, last_tick or 0]) - wait_ticks
+        waiting = {t: seen for t, seen in ticks.items() if t > oldest and (last_tick is None or t > last_tick)}
         state.update((found, last_tick, json.dumps(waiting)))
         yield pd.DataFrame(out, columns=["mseed_name", "tick", "event", "station"])
 
