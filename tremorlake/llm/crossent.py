@@ -163,7 +163,8 @@ def gather(parts: DataFrame) -> list[Models]:
 def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, target_loss, background_loss, score. ``target_ids``: doc_id."""
     ids = target_ids.select(F.col("doc_id").alias("target_id")).filter("target_id IS NOT NULL").distinct()
-    flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("target_id"), "left")
+    # The target's ids grow with the documents, so the texts are shuffled to them, whatever their number.
+    flagged = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("target_id"), "left")
     models = docs.sparkSession.sparkContext.broadcast(gather(count_slots(flagged, F.col("target_id").isNotNull())))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
