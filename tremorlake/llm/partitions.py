@@ -2,8 +2,8 @@
 
 On a bounded sample a graph of nearest neighbours is cut into balanced parts that keep neighbours together. A small network learns
 to tell a vector's part, and every vector is filed under its most probable one. A second network learns in which parts a vector's
-neighbours are filed; a query is sent to the most probable of them until their probabilities reach ``mass``. Inside a part the inner products with all its vectors are computed, in blocks of bounded size,
-and the best of all blocks are kept.
+neighbours are filed; a query is sent to the most probable of them until their probabilities reach ``mass``. Inside a part the
+inner products with all its vectors are computed, in blocks of bounded size. The most probable part is searched first; the others return only what is no worse than a query's last neighbour from there.
 
 The number of parts grows with the table, so a query meets about ``probes`` times ``part_rows`` vectors whatever the table holds, as
 long as the sample can tell that many parts; beyond, parts grow and are cut into more blocks.
@@ -21,7 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -141,15 +141,15 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _top(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of ``rows`` for each query, with exact scores."""
+    """The k best of ``rows`` for each query, none below its ``floor``, with exact scores."""
     q, c = _matrix(queries["x"]), _matrix(rows["x"])
-    ids, names = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+    ids, names, floor = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy(), queries["floor"].to_numpy()
     out = []
     for a in range(0, len(q), 256):
         scores = q[a:a + 256] @ c.T
         scores[names[a:a + 256, None] == ids[None, :]] = -np.inf
         keep = min(k, scores.shape[1])
-        cut = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
+        cut = np.maximum(-np.partition(-scores, keep - 1, axis=1)[:, keep - 1], floor[a:a + 256])
         # Whatever rounding could lift into the best is scored again, component by component.
         i, j = np.nonzero((scores >= (cut - 1e-9 * (1 + np.abs(cut)))[:, None]) & np.isfinite(scores))
         out.append(pd.DataFrame({"query_id": names[a + i], "vec_id": ids[j], "score": (q[a + i] * c[j]).sum(axis=1)}))
@@ -187,22 +187,35 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 819
 
     filed = stored(rows.select("vec_id", "x", F.coalesce(is_query, F.lit(False)).alias("asks")).mapInArrow(
         file, "vec_id BIGINT, x ARRAY<DOUBLE>, part INT, probes ARRAY<INT>"), "filed")
-    sent = filed.select("vec_id", "x", F.explode("probes").alias("part"))
     held = filed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("row_blocks"))
-    asked = sent.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("query_blocks"))
-    shape = F.broadcast(held.join(asked, "part"))  # at most most_parts rows
-
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
-        """Each row in one block of its own kind, once for every block of the other kind."""
-        mine = F.pmod(F.xxhash64("vec_id", F.lit(own)), F.col(own)).cast("int").alias(own)
-        others = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
-        # New names of the same columns, as both sides come from one table.
-        return side.join(shape, "part").select(*[F.col(c).alias(c) for c in ("vec_id", "x", "part")], mine, others)
-
-    keys = ["part", "row_blocks", "query_blocks"]
-    left = dealt(sent, "query_blocks", "row_blocks").groupBy(*keys)
-    right = dealt(filed, "row_blocks", "query_blocks").groupBy(*keys)
-    found = left.cogroup(right).applyInPandas(lambda q, c: _top(q, c, k) if len(q) and len(c) else _top(q[:0], c[:0], k).astype(
-        {"query_id": "int64", "vec_id": "int64", "score": "float64"}), "query_id BIGINT, vec_id BIGINT, score DOUBLE")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def searched(sent: DataFrame) -> DataFrame:
+        """The best of the parts that queries (vec_id, x, floor, part) are sent to: query_id, vec_id, score."""
+        asked = sent.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("query_blocks"))
+        shape = F.broadcast(held.join(asked, "part"))  # at most most_parts rows
+
+        def dealt(side: DataFrame, own: str, other: str) -> GroupedData:
+            """Each row in one block of its own kind, once for every block of the other kind."""
+            mine = F.pmod(F.xxhash64("vec_id", F.lit(own)), F.col(own)).cast("int").alias(own)
+            others = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+            # New names of the same columns, as both sides come from one table.
+            return side.join(shape, "part").select(*[F.col(c).alias(c) for c in side.columns], mine, others).groupBy("part", "row_blocks", "query_blocks")
+
+        def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+            n = min(len(queries), len(candidates))
+            return _top(queries if n else queries[:0], candidates if n else candidates[:0], k).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+        pairs = dealt(sent, "query_blocks", "row_blocks").cogroup(dealt(filed.select("vec_id", "x", "part"), "row_blocks", "query_blocks"))
+        return pairs.applyInPandas(search, "query_id BIGINT, vec_id BIGINT, score DOUBLE")
+
+    queries = filed.filter(F.size("probes") > 0)
+    nothing = F.lit(float("-inf"))
+    first = stored(best(searched(queries.select("vec_id", "x", nothing.alias("floor"), F.get("probes", F.lit(0)).alias("part")))), "first-part")
+    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(nothing).alias("floor"))
+    further = queries.select("vec_id", "x", F.explode(F.slice("probes", 2, F.size("probes"))).alias("part")).join(floors, F.col("vec_id") == F.col("query_id"), "left")
+    rest = searched(further.select("vec_id", "x", F.coalesce("floor", nothing).alias("floor"), "part"))
+    return best(first.drop("rank").union(rest)).select("query_id", "rank", "vec_id", "score")
