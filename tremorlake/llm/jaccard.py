@@ -7,9 +7,12 @@ level. Leaves of ``depth`` levels are the buckets. One run finds a pair of just
 the depth alone; there are as many runs as ``recall`` asks for.
 
 1. Texts with the same set become one vertex.
-2. Every vertex is checked against the smallest vertex that any of its buckets holds; confirmed pairs join components.
-3. Buckets that still hold several components are searched by brute force; those above ``bucket`` members are split deeper first
-   and, whatever remains large, searched in pairs of blocks. Buckets with the same members are searched once.
+2. Every vertex is checked against one vertex that it often shares a bucket with and that has much company; confirmed pairs join
+   components. In buckets that still hold several, every vertex is checked against one random member of another component, for
+   some ``rounds``. So large groups of copies come together with a few checks for each member.
+3. Buckets that then still hold several components are searched by brute force; those above ``bucket`` members are split deeper
+   first and, whatever remains large, searched in pairs of blocks. Buckets with the same members are searched once, and a search
+   returns a tree that connects what it found, not the pairs.
 4. Inside each component all pairs are compared, in pairs of blocks, to count the links.
 
 No pair of copies and no list of a group is ever emitted. Comparisons count common shingles exactly (by 32-bit hashes).
@@ -179,6 +182,22 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similar
     return common >= similarity * (sizes[left][:, None] + sizes[right][None, :] - common)
 
 
+def merged(codes: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each code the smallest one that it is connected to by ``near`` (left x right)."""
+    low = np.arange(int(codes.max()) + 1, dtype=np.int32)
+    while True:
+        own, found = low[codes], low.copy()
+        for a in range(0, len(left), 512):
+            part = near[a:a + 512]
+            rows, here = left[a:a + 512], own[left[a:a + 512]]
+            np.minimum.at(found, codes[rows], np.where(part, own[right][None, :], here[:, None]).min(axis=1, initial=len(low)))
+            np.minimum.at(found, codes[right], np.where(part, here[:, None], own[right][None, :]).min(axis=0, initial=len(low)))
+        found = np.minimum(found, low)[np.minimum(found, low)]
+        if (found == low).all():
+            return low
+        low = found
+
+
 def _in_blocks(members: DataFrame, by: str, size: Column, block: int) -> DataFrame:
     """Every member once in each pair of blocks of its group that it belongs to: adds first, second and mine."""
     n = F.greatest(F.lit(1), F.ceil(size / F.lit(block))).cast("int")
@@ -193,17 +212,17 @@ def _sides(rows: pd.DataFrame, key: tuple) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links_between(members: DataFrame, similarity: float) -> DataFrame:
-    """Edges between the components that a bucket holds, at most one for two components and block pair."""
+    """Edges that connect the components of a bucket which similar members join, fewer than there are components."""
 
     def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("v", ignore_index=True)
         sets = [np.frombuffer(t, "<u4") for t in rows["tokens"]]
         left, right = _sides(rows, key)
-        codes = pd.factorize(rows["label"])[0]
-        near = similar(sets, left, right, similarity) & (codes[left][:, None] != codes[right][None, :])
-        i, j = np.nonzero(near)
-        found = pd.DataFrame({"a": rows["v"].to_numpy()[left[i]], "b": rows["v"].to_numpy()[right[j]], "x": codes[left[i]], "y": codes[right[j]]})
-        return found.drop_duplicates(["x", "y"])[["a", "b"]]
+        codes = pd.factorize(rows["label"])[0].astype(np.int32)
+        joined = merged(codes, similar(sets, left, right, similarity), left, right)
+        first = rows["v"].to_numpy()[np.unique(codes, return_index=True)[1]]
+        moved = np.flatnonzero(joined != np.arange(len(joined)))
+        return pd.DataFrame({"a": first[moved], "b": first[joined[moved]]})
 
     return members.groupBy("node", "first", "second").applyInPandas(search, "a BINARY, b BINARY")
 
@@ -228,7 +247,7 @@ def _link_counts(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.999, depth: int = 3, bucket: int = 512,
-                    block: int = 1024, splits: int = 1) -> DataFrame:
+                    block: int = 4096, splits: int = 1, rounds: int = 2) -> DataFrame:
     """One row per document: doc_id, class_id (its class's smallest doc_id), n_links (similar documents), n_copies (of its set)."""
     runs = runs_for(recall, depth + _DEEPER * splits)
     signed = stored(_signatures(docs, words, similarity, depth, runs), "signatures")
@@ -236,16 +255,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, re
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("nodes").alias("nodes")), "vertices")
     leaves = vertices.select("v", F.explode("nodes").alias("node"))
     member_hash = F.xxhash64("v").cast("decimal(20,0)")
-    buckets = leaves.groupBy("node").agg(F.count("*").alias("n"), F.min("v").alias("center"), F.sum(member_hash).alias("members")).filter("n > 1")
+    buckets = leaves.groupBy("node").agg(F.count("*").alias("n"), F.sum(member_hash).alias("members")).filter("n > 1")
     shared = stored(leaves.join(buckets, "node"), "shared")
+    company = stored(shared.groupBy("v").agg(F.sum(F.log2("n")).alias("company")), "company")
 
-    stars = stored(shared.groupBy("v").agg(F.min("center").alias("center")), "stars")
-    one_row = signed.filter("v IS NOT NULL").select("v", "tokens").join(stars.select("v"), "v", "left_semi")
+    one_row = signed.filter("v IS NOT NULL").select("v", "tokens").join(company.select("v"), "v", "left_semi")
     tokens = stored(one_row.groupBy("v").agg(F.first("tokens").alias("tokens")), "tokens")
-    named = stars.filter("v != center").select(F.col("v").alias("a"), F.col("center").alias("b"))
     tokens_a, tokens_b = (tokens.select(F.col("v").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
-    edges = stored(_similar_pairs(named.join(tokens_a, "a").join(tokens_b, "b"), similarity), "confirmed")
-    labels = stored(_labelled(stars, components(edges)), "labels")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return _similar_pairs(pairs.join(tokens_a, "a").join(tokens_b, "b"), similarity)
+
+    def one_partner(rows: DataFrame, weight: Column) -> DataFrame:
+        """Pairs (a, b): every bucket offers its member of most weight, every vertex takes what is offered to it most often."""
+        own = F.struct(weight.alias("weight"), "v", "label")
+        offers = rows.groupBy("node").agg(F.max(own).alias("offer"))
+        met = rows.join(offers, "node").filter((F.col("offer.v") != F.col("v")) & ((F.col("offer.label") != F.col("label")) | F.col("label").isNull()))
+        times = met.groupBy(F.col("v").alias("a"), F.col("offer.v").alias("b")).agg(F.count("*").alias("times"), F.max("offer.weight").alias("weight"))
+        return times.groupBy("a").agg(F.max(F.struct("times", "weight", "b")).alias("best")).select("a", "best.b")
+
+    met = shared.join(company, "v").select("node", "v", "company", F.lit(None).cast("binary").alias("label"))
+    edges = stored(checked(one_partner(met, F.col("company"))), "confirmed")
+    labels = stored(_labelled(company, components(edges)), "labels")
 
     def unresolved(rows: DataFrame) -> DataFrame:
         """Members (node, n, members, v, label) of the buckets that hold several components."""
@@ -259,6 +290,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, re
         return rows.join(chosen, "node", "left_semi").withColumn("copies", F.lit(1))
 
     open_buckets, searched = unresolved(shared), []
+    for turn in range(rounds):
+        found = stored(checked(one_partner(open_buckets, F.xxhash64("v", F.lit(turn)))), "confirmed")
+        if found.isEmpty():
+            break
+        edges = edges.union(found)
+        labels = stored(_labelled(company, components(stored(edges, "edges"))), "labels")
+        open_buckets = unresolved(open_buckets.drop("label"))
     for _ in range(splits):
         large = open_buckets.filter(F.col("n") > bucket)
         if large.isEmpty():
@@ -271,7 +309,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, re
     more = [_links_between(_in_blocks(s, "node", F.col("n"), block).join(tokens, "v"), similarity) for s in searched]
     for m in more:
         edges = edges.union(m)
-    labels = stored(_labelled(stars, components(stored(edges, "edges"))), "labels")
+    labels = stored(_labelled(company, components(stored(edges, "edges"))), "labels")
 
     sizes = labels.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
     grouped = labels.join(sizes, "label").join(vertices.select("v", "copies"), "v")
@@ -288,8 +326,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, re
                          F.when(alone, 1).otherwise(F.col("n_copies")).cast("bigint").alias("n_copies"))
 
 
-def _labelled(stars: DataFrame, found: DataFrame) -> DataFrame:
-    return stars.select("v").join(found, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
+def _labelled(vertices: DataFrame, found: DataFrame) -> DataFrame:
+    return vertices.select("v").join(found, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
 
 
 def first_of_each_class(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
