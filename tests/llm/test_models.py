@@ -105,6 +105,28 @@ def test_losses_against_plain_counts(spark):
         assert found[i].score == found[i].target_loss - found[i].background_loss
 
 
+def test_rare_words_and_pairs_are_counted_exactly(spark, monkeypatch):
+    """With more words than a fixed table of slots would tell apart, a word held twice is known and one held once is not."""
+    monkeypatch.setattr(crossent, "BLOCK_BYTES", 1 << 18)  # several blocks, more ranges
+    rows = []
+    for i in range(2000):
+        own = [f"w{i % 1000}x{j}" for j in range(200)]  # each in two documents, 200,000 in all
+        rows.append((i, " ".join([*own, f"once{i}", "Also also", "z" * (i % 7)]), i % 2 == 0))
+    rows += [(10_000 + i, t, True) for i, t in enumerate(["", None, "a", "a a a a"])] + [(None, "w1x1 w1x2 w1x3", True)] * 2
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, score BOOLEAN").repartition(4)
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", crossent.fold_of().alias("f")).distinct().collect()}
+    target = [c and i is not None for i, _, c in rows]
+    models = [slow_models([t for i, t, _ in rows if fold[i] == f], [c for (i, _, _), c in zip(rows, target) if fold[i] == f]) for f in (0, 1)]
+    found = crossent.score_documents(docs, docs.filter("score").select("doc_id")).collect()
+    assert len(found) == len(rows)
+    texts = {i: t or "" for i, t, _ in rows}
+    for r in found[::400] + [r for r in found if r.doc_id is None or r.doc_id >= 10_000]:
+        text, loss = texts[r.doc_id], models[1 - fold[r.doc_id]]
+        assert r.n_words == len(text.split())
+        assert r.target_loss == pytest.approx(loss("target", text), abs=1e-9)
+        assert r.background_loss == pytest.approx(loss("all", text), abs=1e-9)
+
+
 def test_target_documents_score_lower(spark):
     docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
     german = docs.filter("lang = 'de'").select("doc_id")
