@@ -70,3 +70,17 @@ def test_components(spark):
     edges = spark.createDataFrame(chain + [(1, 2), (5, 1), (9, 9)], "a BIGINT, b BIGINT")
     found = {r.v: r.label for r in components(edges).collect()}
     assert found == {**dict.fromkeys(range(100, 161), 100), 1: 1, 2: 1, 5: 1, 9: 9}
+
+
+def test_one_row_of_each_class_stays_without_usable_ids(spark):
+    """Near copies that share a doc_id or have none, and a copy without an id beside one that has it."""
+    def near(mark, n):
+        return [" ".join(f"{mark}{j}" for j in range(60)) + f" end{i}" for i in range(n)]
+
+    same, none, mixed_ids, lone = near("s", 3), near("n", 4), near("m", 2), near("l", 1)
+    rows = [*((7, t) for t in same), *((None, t) for t in none), (9, mixed_ids[0]), (None, mixed_ids[1]), (None, lone[0]), (None, lone[0]), (9, "another text"), (None, ""), (None, None), (9, " ")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id BIGINT, text STRING, extra INT")
+    kept = jaccard.first_of_each_class(docs)
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id or 0, (r.text or " ")[0]) for r in kept.collect())
+    assert found == sorted([(7, "s"), (0, "n"), (9, "m"), (0, "l"), (9, "a"), (0, " "), (0, " "), (9, " ")])

@@ -246,9 +246,9 @@ def _link_counts(members: DataFrame, similarity: float) -> DataFrame:
     return found.groupBy("v").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.999, depth: int = 3, bucket: int = 512,
-                    block: int = 4096, splits: int = 1, rounds: int = 2) -> DataFrame:
-    """One row per document: doc_id, class_id (its class's smallest doc_id), n_links (similar documents), n_copies (of its set)."""
+def _linked(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.999, depth: int = 3, bucket: int = 512,
+            block: int = 4096, splits: int = 1, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The documents' signatures, and of each set v: first_id (smallest doc_id), copies, label (of its class) and links."""
     runs = runs_for(recall, depth + _DEEPER * splits)
     signed = stored(_signatures(docs, words, similarity, depth, runs), "signatures")
     vertices = stored(signed.filter("v IS NOT NULL").groupBy("v").agg(
@@ -316,7 +316,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, re
     links = _link_counts(_in_blocks(grouped, "label", F.col("n"), block).join(tokens, "v"), similarity)
     linked = vertices.drop("nodes").join(labels, "v", "left").join(links, "v", "left").select(
         "v", "first_id", "copies", F.coalesce("label", "v").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-    linked = stored(linked, "linked")
+    return signed, stored(linked, "linked")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, **settings: float) -> DataFrame:
+    """One row per document: doc_id, class_id (its class's smallest doc_id), n_links (similar documents), n_copies (of its set)."""
+    signed, linked = _linked(docs, words, similarity, **settings)
     classes = linked.groupBy("label").agg(F.min("first_id").alias("class_id"))
     named_classes = linked.join(classes, "label").select("v", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
     joined = signed.select("doc_id", "v").join(named_classes, "v", "left")
@@ -330,12 +335,25 @@ def _labelled(vertices: DataFrame, found: DataFrame) -> DataFrame:
     return vertices.select("v").join(found, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
 
 
+def set_name(texts: pa.Array, words: int) -> pa.Array:
+    """The 128-bit names of the texts' sets, null without words, as in the signatures."""
+    names = []
+    for batch in steps([pa.RecordBatch.from_arrays([texts], ["text"])], "text", STEP_BYTES):
+        h, borders = shingle_sets(batch.column("text"), words)
+        names += [xxhash.xxh3_128_digest(h[a:b].tobytes()) if b > a else None for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+    return pa.array(names, pa.binary())
+
+
 def first_of_each_class(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their class, all columns; rows of one doc_id stay or go together, once per text."""
-    classes = near_duplicates(docs, words, similarity)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_class_key")).distinct()
-    keyed = docs.withColumn("_class_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_class_text", F.xxhash64("text"))
-    turn = F.row_number().over(Window.partitionBy("_class_key", "_class_text").orderBy("_class_text"))
-    found = keyed.join(kept, "_class_key", "left_semi").withColumn("_class_turn", turn)
-    repeats = (F.col("_class_turn") > 1) & (F.regexp_count(text_or_empty(), F.lit(WORD)) > 0)
-    return found.filter(~repeats).select(*docs.columns)
+    """One row of ``docs`` from each class, all columns: of its smallest doc_id (null only if it has no other), of that one's smallest
+    set name, and of rows with both in common the smallest text hash. Rows without words are no copies of each other and all stay."""
+    _, linked = _linked(docs, words, similarity)
+    chosen = linked.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "v")).alias("first"))
+    chosen = chosen.select(F.col("first.v").alias("_class_v"), F.col("first.first_id").alias("_class_id"))
+    has_words = text_or_empty().rlike(WORD)
+    name = F.arrow_udf(lambda texts: set_name(texts, words), "binary")
+    named = docs.filter(has_words).withColumn("_class_own", name(F.col("text")))
+    same = (F.col("_class_own") == F.col("_class_v")) & F.col("doc_id").eqNullSafe(F.col("_class_id"))
+    turn = F.row_number().over(Window.partitionBy("_class_v").orderBy(F.xxhash64("text"), "text"))
+    kept = named.join(chosen, same).withColumn("_class_turn", turn).filter("_class_turn = 1")
+    return kept.select(*docs.columns).unionByName(docs.filter(~has_words))
