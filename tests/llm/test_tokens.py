@@ -133,3 +133,17 @@ def test_empty_tables(spark, docs):
     path = shared_path(spark, "test-empty")
     token_files.write_token_files(none, path, WORD, 2)
     assert token_files.read_token_files(spark, path).count() == 0
+
+
+def test_rows_without_ids_are_spread_over_groups(spark):
+    """Null doc_ids with different texts, and rows that are equal in everything."""
+    rows = [(None, f"text {i}") for i in range(400)] + [(None, "the same")] * 400 + [(5, "more")] * 200
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    pieces = packing.token_pieces(docs, 64, BYTE, 0)
+    placed = packing.pack(pieces, 64, len(rows), docs_per_group=50).toPandas()
+    sizes = (placed.sequence_id // 2**32).value_counts()
+    assert len(sizes) == 20 and sizes.max() < 100
+    assert placed.groupby("sequence_id")["length"].sum().max() <= 64
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    before, after = (sorted(map(tuple, x[columns].fillna(-1).to_numpy().tolist())) for x in (pieces.toPandas(), placed))
+    assert before == after

@@ -1,7 +1,7 @@
 """Packing documents into sequences of a fixed number of tokens, improved by swaps between underfull sequences.
 
-A document longer than a sequence is cut into full pieces behind one shorter first piece. Pieces are dealt at random into
-groups of a bounded number of documents; each group is packed best-fit, longest first, and then improved: moves, exchanges of
+A document longer than a sequence is cut into full pieces behind one shorter first piece. Pieces are dealt at random,
+by a hash of the row and a number for repeated rows, into groups of a bounded number of documents; each group is packed best-fit, longest first, and then improved: moves, exchanges of
 one for one and of two for one between underfull bins, each of which raises the sum of squared fills, so that the fuller of two
 bins fills up and the other empties. A group costs at most one or two bins beyond what its tokens need.
 
@@ -215,8 +215,19 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return number, offset
 
 
+def _dealt(pieces: DataFrame, groups: int) -> DataFrame:
+    """The pieces with pack_group from a hash of the whole row and, of rows that are equal in everything, their number: neither rows
+    without a doc_id nor repeated ones meet in one group."""
+    run = 1 << 16
+    counted = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("pack_rows"))
+    runs = counted.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(pack_rows - 1) div {run}"))).alias("pack_run"))
+    left = F.least(F.lit(run), F.col("pack_rows") - F.col("pack_run") * run)
+    rows = runs.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), left)).alias("pack_turn"))
+    return rows.select(*pieces.columns, F.pmod(F.xxhash64(*pieces.columns, "pack_run", "pack_turn"), F.lit(groups)).alias("pack_group"))
+
+
 def pack(pieces: DataFrame, capacity: int, n_docs: int, docs_per_group: int = 4096) -> DataFrame:
-    """The pieces with sequence_id and offset. A group holds the pieces of about ``docs_per_group`` documents."""
+    """The pieces with sequence_id and offset. A group holds about as many pieces as ``docs_per_group`` documents have."""
     groups = parts(n_docs, docs_per_group)
     columns = [c for c in pieces.columns if c != "ids"]
 
@@ -226,7 +237,7 @@ def pack(pieces: DataFrame, capacity: int, n_docs: int, docs_per_group: int = 40
         return rows.assign(sequence_id=(int(key[0]) << 32) + number, offset=offset)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(columns).schema)
-    grouped = pieces.select(*columns, F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("pack_group"))
+    grouped = _dealt(pieces.select(*columns), groups)
     return grouped.groupBy("pack_group").applyInPandas(packed, f"{schema}, sequence_id BIGINT, offset BIGINT")
 
 
