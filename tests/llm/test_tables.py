@@ -23,12 +23,12 @@ from tremorlake.llm.queries import RULES, all_queries  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 #: Queries beyond SQL; each has a brute-force, round-trip or held-out test here.
-BEYOND_SQL = {"op1_best_fit_packing", "op2_token_files", "op3_quality", "op4_nearest", "op5_cross_entropy", "op7_main_text", "op8_near_duplicates", "pipeline"}
+BEYOND_SQL = {"op1_best_fit_packing", "op2_token_files", "op3_quality", "op4_nearest", "op5_cross_entropy", "op7_main_text", "op8_near_duplicates", "op11_sentencepiece", "pipeline"}
 
 
 def test_every_query_is_registered():
     mine = set(all_queries()) | {"pipeline"}
-    assert mine <= set(queries()) and len(mine) == 11
+    assert mine <= set(queries()) and len(mine) == 14
     assert mine - set(oracle_sql()) == BEYOND_SQL
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path, ship_package
-from . import crossent, dedup, extraction, jaccard, mixing, packing, partitions, quality, token_files, urls
+from . import crossent, dedup, extraction, jaccard, merkle, mixing, packing, partitions, quality, sentencepiece_bpe, spelling, token_files, urls
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,21 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentencepiece_bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.manifest(merkle.document_leaves(read(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.thinned_words(read(spark, sf_dir, "documents")))
