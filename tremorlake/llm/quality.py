@@ -10,7 +10,8 @@ The fit reads a bounded sample, ``most_positive`` and ``most_unlabelled`` rows w
 cover every whole text. Inputs are shares of kinds of characters, lengths and repetition of words; nothing but the text counts.
 
 Nulls: a null text counts as empty, an empty text has all inputs 0 and the score that the model gives them. Rows with a null
-doc_id are scored, are not held out and not learnt from. A doc_id labelled both ways is no trusted positive. Without positives
+doc_id are scored, are not held out and not learnt from. A doc_id labelled both ways is no trusted positive; of a doc_id with
+several texts the fit reads one. Without positives
 or unlabelled rows every score is 0.5. Repeated rows are scored each; empty tables give no rows; other columns are ignored.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import steps, text_or_empty
 
-STEP_BYTES = 8 << 20
+STEP_BYTES = 1 << 20
 _LOWER, _UPPER, _DIGIT, _BLANK, _LINE, _HIGH, _STOP, _SIGN, _CALL, _SYMBOL = range(10)
 
 
@@ -49,7 +50,7 @@ N_FEATURES = 18
 def _distinct(owner: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of distinct values of each owner, and the count of its most frequent one."""
     width = int(value.max()) + 1 if len(value) else 1
-    pairs, counts = np.unique(owner * width + value, return_counts=True)
+    pairs, counts = np.unique(owner.astype(np.int64) * width + value, return_counts=True)
     distinct = np.bincount(pairs // width, minlength=n)
     top = np.zeros(n, np.int64)
     np.maximum.at(top, pairs // width, counts)
@@ -63,8 +64,8 @@ def features(texts: pa.Array) -> np.ndarray:
     borders = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1]
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[borders[0]:borders[-1]]
     kind = _KIND[raw]
-    owner = np.repeat(np.arange(n), np.diff(borders))
-    counts = np.bincount(owner * 10 + kind, minlength=n * 10).reshape(n, 10)[:n].astype(float)
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(borders))
+    counts = np.bincount(owner * np.int32(10) + kind, minlength=n * 10).reshape(n, 10)[:n].astype(float)
     space = (kind == _BLANK) | (kind == _LINE)
     first = np.ones(len(raw), bool)  # first byte of a text
     inner = owner[1:] == owner[:-1]
@@ -190,9 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 15_000, most_
     free = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").join(known, "doc_id", "left_anti")
     free = free.distinct().orderBy(draw, "doc_id").limit(most_unlabelled)
     ids = trusted.select(F.col("doc_id").alias("id"), F.lit(True).alias("trusted")).union(free.select("doc_id", F.lit(False)))
-    # At most most_positive + most_unlabelled ids of 8 bytes.
+    # At most most_positive + most_unlabelled ids of 8 bytes, and as many rows: of a repeated doc_id one text.
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
-    rows = with_features(chosen, ["trusted"]).toPandas()
+    inputs = with_features(chosen, ["doc_id", "trusted"]).groupBy("doc_id").agg(F.min(F.struct("x", "trusted")).alias("one"))
+    rows = inputs.select("one.*").toPandas()
     if not rows.trusted.any() or rows.trusted.all():
         return None
     x = np.stack(rows.x.to_numpy())
