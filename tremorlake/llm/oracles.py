@@ -19,7 +19,7 @@ SELECT doc_id, keep_id, group_size, n = 1 AS kept, text_sha256 FROM ranked"""
 
 def mix_sql(documents: str = "documents") -> str:
     return f"""WITH rows AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS key FROM {documents}),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 8))::BIGINT AS key FROM {documents}),
   sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
   ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sources),
   weighted AS (SELECT *, (rank - 1) % 3 + 1 AS weight, source_size * 3 AS top FROM ranked),
