@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -23,7 +24,6 @@ ODD = [None, "", " ", "  a", "a  b", "a \n b", "x\n", "don't we'll 's", "\x1f a"
 
 def direct(path: str, texts, end_id: int) -> list[list[int]]:
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [e.ids + [end_id] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -39,6 +39,27 @@ def test_pieces_give_the_ids_of_whole_texts(path, drops, remembered):
         assert [ids[a:b].tolist() for a, b in zip(borders, borders[1:])] == direct(path, part, 9)
 
 
+@pytest.mark.parametrize(("path", "drops"), [(BYTE, False), (WORD, True)])
+def test_every_letter_in_front_of_signs(path, drops):
+    letters = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c)[0] in "LN"]
+    signs = ".-,|("
+    texts = [f"K{c}{signs[i % len(signs)]}1 {c}{signs[(i + 1) % len(signs)]}" for i, c in enumerate(letters)]
+    encoder = PieceEncoder(path, drops)
+    for i in range(0, len(texts), 20_000):
+        part = texts[i:i + 20_000]
+        ids, borders = encoder.encode(pa.array(part), 9)
+        assert [ids[a:b].tolist() for a, b in zip(borders, borders[1:])] == direct(path, part, 9)
+
+
+@pytest.mark.parametrize(("path", "drops"), [(BYTE, False), (WORD, True)])
+def test_added_tokens_in_texts(path, drops):
+    rnd = random.Random(9)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", " a", "B.", " ", "\n", "'s"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))) for _ in range(2000)]
+    ids, borders = PieceEncoder(path, drops).encode(pa.array(texts), 9)
+    assert [ids[a:b].tolist() for a, b in zip(borders, borders[1:])] == direct(path, texts, 9)
+
+
 def test_elias_fano_select():
     rng = np.random.default_rng(0)
     for n, top in ((0, 1), (1, 0), (1, 2**40), (3, 0), (5000, 10), (5000, 2**33)):

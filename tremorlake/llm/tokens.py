@@ -2,12 +2,16 @@
 
 No token of the two tokenizer files crosses these borders: in front of a space or line break that follows another character than
 white space, and between a letter or digit and an ASCII sign other than the apostrophe. So a text's ids are the ids of its
-pieces in a row. Texts with white space in front of a space are not cut at spaces. Strings of special tokens are ordinary text.
+pieces in a row. Texts with white space in front of a space are not cut at spaces. A letter that normalisation turns into a
+letter and a mark has its mark join the sign: pieces with such letters are not cut at signs. Texts that hold the string of an added
+token, which the library looks for first, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +21,16 @@ import pyarrow.compute as pc
 _NO_BORDER = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
               r"[ \n]")
 _SIGN = r"([\pL\pN])([!-&(-/:-@\[-`{-~])"
+
+
+def _ends_in_mark() -> str:
+    """A pattern of the letters and digits whose normalised, lower-case form ends in something else."""
+    found = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c)[0] in "LN"
+             and unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0] not in "LN"]
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in found) + "]"
+
+
+_MARKED = _ends_in_mark()
 #: Characters that Unicode keeps out of texts; one that a batch doesn't hold marks the borders.
 _MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 
@@ -42,14 +56,15 @@ class PieceEncoder:
     ``drops_space``: the tokenizer ignores white space and lowers letters, so pieces that differ in those only are one.
     """
 
-    def __init__(self, path: str, drops_space: bool = False, remembered: int = 600_000):
+    def __init__(self, path: str, drops_space: bool = False, remembered: int = 600_000, remembered_bytes: int = 24 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "|".join(map(re.escape, added))
         self.drops_space = drops_space
-        self.remembered = remembered
+        self.remembered, self.remembered_bytes = remembered, remembered_bytes
         self.known = pa.array([], pa.large_string())
         self.ids = np.empty(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
@@ -72,7 +87,8 @@ class PieceEncoder:
         ids, ends = np.concatenate([self.ids, new_ids]), np.concatenate([self.ends, self.ends[-1] + new_ends[1:]])
         place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         place[missing.to_numpy(zero_copy_only=False)] = base + np.arange(len(new))
-        if (more := min(len(new), self.remembered - base)) > 0:
+        held = self.known.nbytes + self.ids.nbytes + self.ends.nbytes
+        if held < self.remembered_bytes and (more := min(len(new), self.remembered - base)) > 0:
             self.known = pa.concat_arrays([self.known, new.slice(0, more)])
             self.ends = ends[:base + more + 1].copy()
             self.ids = ids[:self.ends[-1]].copy()
@@ -81,13 +97,24 @@ class PieceEncoder:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, ``end_id`` behind each, and the n + 1 borders. A null counts as empty."""
         texts = pc.cast(pc.fill_null(texts, ""), pa.large_string())
+        special = pc.match_substring_regex(texts, self.added) if self.added else pa.repeat(pa.scalar(False), len(texts))
+        whole = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+        ids, borders = self._encode_pieces(pc.if_else(special, pa.scalar("", pa.large_string()), texts), end_id)
+        if len(whole):
+            more, ends = self._encode(texts.take(pa.array(whole)))
+            sizes = np.diff(ends)
+            ids = np.insert(ids, np.repeat(borders[whole], sizes), more)
+            borders = borders + np.concatenate([[0], np.cumsum(np.bincount(whole, weights=sizes, minlength=len(texts)).astype(np.int64))])
+        return ids, borders
+
+    def _encode_pieces(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         mark = next((m for m in _MARKS if not pc.any(pc.match_substring(texts, m)).as_py()), None)
         if mark is None:
             ids, borders = self._encode(texts)
         else:
             marked = pc.replace_substring(pc.replace_substring(texts, " ", mark + " "), "\n", mark + "\n")
             borders, codes, pieces = _split(pc.if_else(pc.match_substring_regex(texts, _NO_BORDER), texts, marked), mark)
-            piece_borders, piece_codes, atoms = _split(pc.replace_substring_regex(pieces, _SIGN, rf"\1{mark}\2"), mark)
+            piece_borders, piece_codes, atoms = _split(pc.if_else(pc.match_substring_regex(pieces, _MARKED), pieces, pc.replace_substring_regex(pieces, _SIGN, rf"\1{mark}\2")), mark)
             if self.drops_space:
                 bare = pc.utf8_ltrim(atoms, characters=" \n")
                 coded = pc.if_else(pc.string_is_ascii(bare), pc.ascii_lower(bare), bare).dictionary_encode()
