@@ -17,7 +17,7 @@ import corpus_pipeline  # noqa: E402
 from compare import connect, difference, table_of  # noqa: E402
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
-from tremorlake.llm import dedup, mixing, urls  # noqa: E402
+from tremorlake.llm import dedup, jaccard, mixing, urls  # noqa: E402
 from tremorlake.llm.oracles import all_oracles, dedup_sql, mix_sql  # noqa: E402
 from tremorlake.llm.queries import RULES, all_queries  # noqa: E402
 
@@ -173,3 +173,25 @@ def test_stages_take_odd_and_empty_tables(spark, stage):
     run = corpus_pipeline.STAGES[stage][1]
     assert run(spark, spark.createDataFrame(odd, schema), SF_DIR).count() >= 1 - (stage == 0)
     assert run(spark, spark.createDataFrame([], schema), SF_DIR).count() == 0
+
+
+def test_stages_keep_columns_of_any_names(spark):
+    """Columns of the names that the stages use inside, and of plain ones that they might use."""
+    names = ["_copy_key", "_copy_turn", "_class_v", "_class_own", "_class_turn", "_mix_size", "_mix_key", "_mix_source", "_mix_row", "key", "turn", "row", "own", "v"]
+    rows = [(i, f"one two three four five {i} " * 3, "s", *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {t}" for n, t in [("doc_id", "BIGINT"), ("text", "STRING"), ("source", "STRING"), *[(n, "STRING") for n in names]]))
+    for stage in (dedup.distinct_documents, jaccard.first_of_each_class, mixing.mixed_documents):
+        out = stage(docs)
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(rows)
+
+
+def test_mix_of_rows_without_ids(spark):
+    """A third of the rows have no doc_id, another third are one row; each kind is dealt over the key ranges or counted first."""
+    rows = [(None, f"w{i} " * (i % 7), "a") for i in range(300)] + [(5, "same words here", "a")] * 300 + [(1000 + i, "x y", "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    keys = mixing._measured(docs).groupBy("doc_id").agg(F.count_distinct("_mix_key").alias("n"))
+    assert {r.doc_id: r.n for r in keys.filter("doc_id IS NULL OR doc_id = 5").collect()}[None] >= 250
+    assert mixing._light(mixing._measured(docs)).count() <= 601
+    found = mixing.mix(docs, rows_per_range=16)
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    assert table_of(columns, found.select(*columns).collect()) == in_duckdb(rows, "doc_id BIGINT, text VARCHAR, source VARCHAR", mix_sql())

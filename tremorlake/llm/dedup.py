@@ -65,9 +65,10 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each content."""
-    kept = exact_duplicates(docs).filter("kept").select(F.concat_ws("|", F.col("doc_id").cast("string"), "text_sha256").alias("_copy_key"))
-    keyed = docs.withColumn("_copy_key", F.concat_ws("|", F.col("doc_id").cast("string"), sha256(_content())))
-    found = keyed.join(kept, "_copy_key", "left_semi")
+    kept = exact_duplicates(docs).filter("kept").select(F.concat_ws("|", F.col("doc_id").cast("string"), "text_sha256").alias("key"))
+    # A row travels as one column, so that none of its names can clash with those used here.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.concat_ws("|", F.col("doc_id").cast("string"), sha256(_content())).alias("key"))
+    found = keyed.join(kept, "key", "left_semi")
     # Only rows that repeat a doc_id and a content meet here; the longest is the one that stays.
-    first = Window.partitionBy("_copy_key").orderBy(F.desc(F.char_length(text_or_empty())))
-    return found.withColumn("_copy_turn", F.row_number().over(first)).filter("_copy_turn = 1").select(*docs.columns)
+    first = Window.partitionBy("key").orderBy(F.desc(F.char_length(F.coalesce("row.text", F.lit("")))))
+    return found.withColumn("turn", F.row_number().over(first)).filter("turn = 1").select("row.*")

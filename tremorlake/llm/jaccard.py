@@ -39,7 +39,7 @@ from ..session import stored
 from .common import WORD, steps, text_or_empty
 from .components import components
 
-STEP_BYTES = 8 << 20
+STEP_BYTES = 1 << 20
 _DEEPER = 2  # levels that a further split adds
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -349,11 +349,12 @@ def first_of_each_class(docs: DataFrame, words: int = 5, similarity: float = 0.8
     set name, and of rows with both in common the smallest text hash. Rows without words are no copies of each other and all stay."""
     _, linked = _linked(docs, words, similarity)
     chosen = linked.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "v")).alias("first"))
-    chosen = chosen.select(F.col("first.v").alias("_class_v"), F.col("first.first_id").alias("_class_id"))
+    chosen = chosen.select(F.col("first.v").alias("v"), F.col("first.first_id").alias("first_id"))
     has_words = text_or_empty().rlike(WORD)
     name = F.arrow_udf(lambda texts: set_name(texts, words), "binary")
-    named = docs.filter(has_words).withColumn("_class_own", name(F.col("text")))
-    same = (F.col("_class_own") == F.col("_class_v")) & F.col("doc_id").eqNullSafe(F.col("_class_id"))
-    turn = F.row_number().over(Window.partitionBy("_class_v").orderBy(F.xxhash64("text"), "text"))
-    kept = named.join(chosen, same).withColumn("_class_turn", turn).filter("_class_turn = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter(~has_words))
+    # A row travels as one column, so that none of its names can clash with those used here.
+    named = docs.filter(has_words).select(F.struct(*docs.columns).alias("row"), name(F.col("text")).alias("own"))
+    same = (F.col("own") == F.col("v")) & F.col("row.doc_id").eqNullSafe(F.col("first_id"))
+    turn = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("row.text"), "row.text"))
+    kept = named.join(chosen, same).withColumn("turn", turn).filter("turn = 1")
+    return kept.select("row.*").unionByName(docs.filter(~has_words))
