@@ -6,8 +6,8 @@ from __future__ import annotations
 from ..functions.numbers import EPSILON
 from ..operators.dsp import EDGE, bandpass_sections
 from ..schemas import CHANNELS, STATIONS
-from .queries import BAD_EVERY, KEYS, NLTA, NSTA, OFF, ON
-from .views import RAW_RATES, RECORDING_SAMPLES, RECORDING_US, START_US
+from .queries import BAD_EVERY, KEYS, LATE_US, NLTA, NSTA, OFF, ON
+from .views import DELAYED_BY, DELAYED_EVERY, MIN_SLICES, RAW_RATES, RECORDING_SAMPLES, RECORDING_US, SLICE_ROWS, START_US
 
 SAMPLES = f"""samples AS MATERIALIZED (
   SELECT event_id AS ingest_seq, ['BHE','BHN','BHZ'][event_id % 3 + 1] AS channel,
@@ -380,6 +380,26 @@ UNION ALL SELECT station, channel, 'off', {START_US} + off_idx * 40000 FROM inte
 UNION ALL SELECT mseed_name, tick, 'reset', NULL FROM steps WHERE before AND reset""",
         "stream_alert_map": f"""{r}{MAP} SELECT mseed_name, tick, 'detected' AS event, station FROM steps WHERE detected
 UNION ALL SELECT mseed_name, tick, 'reset', NULL FROM steps WHERE before AND reset""",
+        "stream_alert_expiry": f"""{r}{PANEL}, sent AS (SELECT mseed_name, tick, list(DISTINCT station) AS stations FROM latest GROUP BY ALL)
+SELECT mseed_name, tick, 'detected' AS event, station FROM steps WHERE detected
+UNION ALL SELECT mseed_name, tick, 'reset', NULL FROM steps WHERE before AND reset
+UNION ALL SELECT mseed_name, tick, 'late', unnest(stations) FROM sent WHERE len(stations) < 3""",
+        "stream_late": f"""{w}{SAMPLES}, sent AS (SELECT *, ingest_seq + CASE WHEN ingest_seq % {DELAYED_EVERY} = 5 THEN {DELAYED_BY} ELSE 0 END AS sent FROM samples),
+bounds AS (SELECT min(sent) AS low, (max(sent) - min(sent)) // greatest({MIN_SLICES}, ceil(count(*) / {SLICE_ROWS}))::BIGINT + 1 AS step FROM sent),
+sliced AS (SELECT sent.*, (sent - low) // step AS slice FROM sent, bounds),
+newest AS (SELECT slice, max(max(t_us)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest_us FROM sliced GROUP BY slice)
+SELECT station, channel, t_us, data, CASE WHEN tick <= (newest_us - {LATE_US}) // 1000000 THEN 'late' ELSE 'frame' END AS kind FROM sliced JOIN newest USING (slice)""",
+        "stream_upsert": f"{w}{HOURLY} SELECT station, channel, t_us, data, ingest_seq FROM hourly",
+        "stream_replay": f"""{w}{SAMPLES}, ticks AS (SELECT unnest(range({START_US // 1_000_000}, (SELECT max(tick) + 1 FROM samples))) AS tick)
+SELECT k.tick, count(s.tick) AS n_rows, count(DISTINCT s.station || s.channel) AS n_channels
+FROM ticks k LEFT JOIN samples s ON s.tick = k.tick GROUP BY k.tick""",
+        "stream_counts": f"""{w}texts AS (SELECT {CUT} AS value FROM events)
+SELECT count(*) FILTER (WHERE json_valid(value)) AS delivered, count(*) FILTER (WHERE NOT json_valid(value)) AS rejected FROM texts""",
+        "stream_restart": f"""{w}texts AS (SELECT {CUT} AS value FROM events)
+SELECT CASE WHEN json_valid(value) THEN CAST(json_extract(value, '$.k') AS BIGINT) END AS k,
+  CASE WHEN NOT json_valid(value) THEN value END AS raw, 1::BIGINT AS failures, 1::BIGINT AS idle FROM texts""",
+        "ingest_metrics": f"""{w}{TIMED} SELECT count(*) AS n_samples, round((max(t_us) - min(t_us)) / 1000000.0, 6) + 0.0 AS span_s,
+  round(count(*) / ((max(t_us) - min(t_us)) / 1000000.0), 6) + 0.0 AS rate FROM timed""",
         "stream_lookup": f"""{w}{SAMPLES}, docs AS (SELECT mseed_name AS name, count(DISTINCT station || channel) AS n_traces FROM samples GROUP BY ALL),
 sent AS (SELECT ingest_seq, CASE WHEN ingest_seq % 7 <> 0 THEN mseed_name ELSE 'unknown' END AS mseed_name, mseed_name || '.mseed' AS filename FROM samples)
 SELECT ingest_seq, mseed_name, filename, n_traces FROM sent LEFT JOIN docs ON docs.name = sent.mseed_name""",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.errors.exceptions.captured import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions.messages import decode_json
@@ -22,7 +24,9 @@ from ..sources import stations as station_table
 from ..streaming import alerts as stream_alerts
 from ..streaming import consume as stream_consume
 from ..streaming import frames as stream_frames
+from ..streaming import late as stream_late_rows
 from ..streaming import picker as stream_picker
+from ..streaming import replay as stream_replays
 from ..streaming.runs import run_to_table
 from . import views
 
@@ -35,6 +39,8 @@ KEYS = frames.frame_keys(STATIONS)
 NSTA, NLTA, ON, OFF = 5, 50, 2.5, 0.5
 STREAM_DELAY = "2 seconds"
 BAD_EVERY = 97
+LATE_US = 2 * SECOND_US
+REPLAY_TICKS = 32
 
 _queries: dict[str, Query] = {}
 
@@ -557,7 +563,8 @@ def stream_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _live_alerts(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
     latest = stored(frames.latest_row(views.station_frames(spark, sf_dir)), "latest")
-    return run_to_table(stream_alerts.stream_alerts(views.staged_stream(latest, "tick", "staged-latest"), rule=rule), "stream-alerts")
+    found = run_to_table(stream_alerts.stream_alerts(views.staged_stream(latest, "tick", "staged-latest"), rule=rule), "stream-alerts")
+    return found.where("event != 'late'")
 
 
 @query
@@ -570,6 +577,117 @@ def stream_alert_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _live_alerts(spark, sf_dir, "map")
 
 
+@query
+def stream_alert_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live alerts of recordings that end: frames of ticks that never become complete come out as late, and no state stays."""
+    latest = frames.latest_row(views.station_frames(spark, sf_dir)).select("mseed_name", "station", "tick", "p_Arrival", "data_prediction")
+    latest = stored(latest, "latest")
+    end = F.struct(F.lit("end").alias("mseed_name"), F.lit(STATIONS[0]).alias("station"), (F.max("tick") + 3600).alias("tick"),
+                   F.lit(None).cast("int").alias("p_Arrival"), F.first("data_prediction").alias("data_prediction"))
+    closing = latest.agg(end.alias("r")).select("r.*")
+    stream = views.staged_stream(latest, "tick", "staged-expiring", closing)
+    found = run_to_table(stream_alerts.stream_alerts(stream, wait_ticks=30, delay="10 seconds"), "stream-expiry")
+    return found.where("mseed_name != 'end'")
+
+
+@query
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream out of order: the samples of its frames and, from the sample table, those that came too late for theirs."""
+    run = stream_late_rows.FramesWithLateRows(spark, shared_path(spark, "stream-late"), KEYS, LATE_US)
+    run.start(views.disordered_samples(spark, sf_dir)).awaitTermination()
+    shown = frames.unpivot_frame(run.frames().drop("tick"), "t").where(F.col("data").isNotNull())
+    late = sample_store.read_upserted(spark, f"{run.path}/late")
+    rows = shown.select("station", "channel", us(), "data", F.lit("frame").alias("kind"))
+    return rows.unionByName(late.select("station", "channel", us(), "data", F.lit("late").alias("kind")))
+
+
+@query
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys written again in later micro-batches, upserted into the sample table."""
+    rows = views.timed_samples(spark, sf_dir).withColumn("t", F.date_trunc("hour", "t"))
+    path = shared_path(spark, "stream-upsert")
+    stream = views.staged_stream(rows, "ingest_seq", "staged-timed")
+    writer = stream.writeStream.foreachBatch(lambda batch, batch_id: sample_store.upsert_samples(batch, f"{path}/samples", batch_id))
+    writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return sample_store.read_upserted(spark, f"{path}/samples").select("station", "channel", us(), "data", "ingest_seq")
+
+
+@query
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample table replayed second by second from the fixed instant on, by a clock that is the stream's source."""
+    path = shared_path(spark, "stream-replay")
+    rows = views.samples(spark, sf_dir)
+    sample_store.write_samples(rows.select("station", "channel", "t", "data", "ingest_seq"), f"{path}/samples")
+    stop = rows.agg(F.max(tick_of(F.col("t")))).first()[0]
+    start = views.START_US // SECOND_US
+    return stream_replays.Replay(spark, f"{path}/samples", path, start, stop or start, REPLAY_TICKS).run()
+
+
+@query
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages delivered and rejected in a consumer's run, as its reports gave them."""
+    path = shared_path(spark, "counts")
+    events = views.staged_stream(views.table(spark, sf_dir, "events").select("event_id", "props"), "event_id", "staged-events")
+    totals = stream_consume.DeliveryCounts()
+    spark.streams.addListener(totals)
+    try:
+        run = stream_consume.consume(
+            decode_json(_texts(events), "k BIGINT"), f"{path}/checkpoint",
+            stream_consume.table_handler(f"{path}/good"), stream_consume.table_handler(f"{path}/bad"))
+        run.awaitTermination()
+        totals.store(spark, run, f"{path}/runs")
+    finally:
+        spark.streams.removeListener(totals)
+    return spark.read.schema(stream_consume.RUN_COUNTS).parquet(f"{path}/runs").select("delivered", "rejected")
+
+
+@query
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A consumer whose handler fails at the second micro-batch, started again from its checkpoint, then idle."""
+    path = shared_path(spark, "restart")
+    events = views.staged_stream(views.table(spark, sf_dir, "events").select("event_id", "props"), "event_id", "staged-events")
+    messages_of = decode_json(_texts(events), "k BIGINT")
+    good, bad, failed, idle = stream_consume.table_handler(f"{path}/good"), stream_consume.table_handler(f"{path}/bad"), [], threading.Event()
+
+    def once_broken(rows: DataFrame, batch_id: int) -> None:
+        good(rows, batch_id)
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("the handler's first try of a micro-batch fails behind its write")
+
+    first = stream_consume.consume(messages_of, f"{path}/checkpoint", once_broken, bad)
+    try:
+        first.awaitTermination()
+    except StreamingQueryException:
+        pass
+    interval = "spark.sql.streaming.noDataProgressEventInterval"
+    held = spark.conf.get(interval, None)
+    spark.conf.set(interval, "200")
+    try:
+        again = stream_consume.consume(messages_of, f"{path}/checkpoint", once_broken, bad, on_wait=lambda times: idle.set(), available_now=False)
+        again.processAllAvailable()
+        idle.wait(30)
+        again.stop()
+    finally:
+        spark.conf.set(interval, held) if held is not None else spark.conf.unset(interval)
+    kept = spark.read.schema("k BIGINT").parquet(f"{path}/good").select("k", F.lit(None).cast("string").alias("raw"))
+    kept = kept.unionByName(spark.read.schema("raw STRING").parquet(f"{path}/bad").select(F.lit(None).cast("bigint").alias("k"), "raw"))
+    return kept.select("k", "raw", F.lit(len(failed)).cast("bigint").alias("failures"), F.lit(int(idle.is_set())).cast("bigint").alias("idle"))
+
+
+@query
+def ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples, span and rate of a write to the sample table, observed by the write itself."""
+    path, seen = shared_path(spark, "ingest"), Observation("ingest")
+    sample_store.write_samples(views.timed_samples(spark, sf_dir), f"{path}/samples", seen)
+    found = seen.get
+    row = spark.range(1).select(F.lit(found["n_samples"]).cast("bigint").alias("n_samples"), F.lit(found["first_us"]).cast("bigint").alias("a"), F.lit(found["last_us"]).cast("bigint").alias("b"))
+    row.write.parquet(f"{path}/metrics")
+    span = (F.col("b") - F.col("a")) / F.lit(float(SECOND_US))
+    kept = spark.read.schema("n_samples BIGINT, a BIGINT, b BIGINT").parquet(f"{path}/metrics")
+    return kept.select("n_samples", F.round(span, 6).alias("span_s"), F.round(F.when(span > 0, F.col("n_samples") / span), 6).alias("rate"))
+
+
 @query
 def stream_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notifications on a stream, each with the document of its recording."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from datetime import UTC, datetime, timedelta
 
@@ -57,16 +58,21 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_samples(table(spark, sf_dir, "events"))
 
 
-def staged_stream(rows: DataFrame, order: str, label: str, closing: DataFrame | None = None, slices: int = 3,
-                  files: int = 2) -> DataFrame:
+MIN_SLICES, SLICE_ROWS, FILE_ROWS = 3, 1 << 20, 1 << 16
+
+
+def staged_stream(rows: DataFrame, order: str, label: str, closing: DataFrame | None = None) -> DataFrame:
     """The rows as a stream of one micro-batch per slice of ``order`` (whole numbers), the rows of ``closing`` in a last one.
 
     A stored table may be one file or a folder of any number, in any order. Written slice by slice, with the same number
-    of files each, it replays in order and state goes from one micro-batch to the next.
+    of files each, it replays in order and state goes from one micro-batch to the next. Slices hold about ``SLICE_ROWS`` rows and
+    files ``FILE_ROWS`` at most, so a longer table makes more micro-batches, not larger ones; a short one is cut in three.
     """
     spark = rows.sparkSession
     path = shared_path(spark, label)
-    low, high = rows.agg(F.min(order), F.max(order)).first()
+    low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    slices = max(MIN_SLICES, math.ceil(n / SLICE_ROWS))
+    files = max(2, math.ceil(n / slices / FILE_ROWS))
     step = 1 if low is None else (high - low) // slices + 1
     for i in range(slices if low is not None else 0):
         part = rows.where(F.col(order).between(low + i * step, low + (i + 1) * step - 1))
@@ -80,9 +86,23 @@ def stream_samples(spark: SparkSession, sf_dir: str, closing: bool = False) -> D
     """The same rows as a stream. With ``closing`` a row of each trace an hour after its last one pushes the watermark past the end
     (whichever traces a query filters); these stay in the stream's state and so out of what is emitted when its time is over."""
     rows = samples(spark, sf_dir)
+    return staged_stream(rows, "ingest_seq", "staged-samples", _closing(rows) if closing else None)
+
+
+def _closing(rows: DataFrame) -> DataFrame:
     last = rows.groupBy("station", "channel").agg(F.max_by(F.struct(*rows.columns), "ingest_seq").alias("r")).select("r.*")
-    later = last.withColumn("t", F.col("t") + F.expr("INTERVAL 1 HOUR"))
-    return staged_stream(rows, "ingest_seq", "staged-samples", later.select(*rows.columns) if closing else None)
+    return last.withColumn("t", F.col("t") + F.expr("INTERVAL 1 HOUR")).select(*rows.columns)
+
+
+#: Of the stream that is out of order, every so many rows is sent so many places later.
+DELAYED_EVERY, DELAYED_BY = 13, 5000
+
+
+def disordered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows as a stream in which a part of them comes long after their neighbours, with closing rows."""
+    held_back = F.when(F.col("ingest_seq") % DELAYED_EVERY == 5, DELAYED_BY).otherwise(0)
+    rows = samples(spark, sf_dir).withColumn("sent", F.col("ingest_seq") + held_back)
+    return staged_stream(rows, "sent", "staged-disordered", _closing(rows))
 
 
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Live alert panel: one held alert per recording, emitted when it changes."""
+"""Live alert panel: one held alert per recording, emitted when it changes, and the ticks that never became complete."""
 
 from __future__ import annotations
 
@@ -16,26 +16,41 @@ ALERT_SCHEMA = "mseed_name STRING, tick BIGINT, event STRING, station STRING"
 STATE_SCHEMA = "found BOOLEAN, last_tick BIGINT, pending STRING"
 
 
-def stream_alerts(latest: DataFrame, stations: Sequence[str] = PRIORITY, rule: str = "panel", wait_ticks: int = 3600) -> DataFrame:
-    """(mseed_name, tick, event, station) with event ``detected`` or ``reset``.
+def stream_alerts(latest: DataFrame, stations: Sequence[str] = PRIORITY, rule: str = "panel", wait_ticks: int = 3600,
+                  delay: str | None = None) -> DataFrame:
+    """(mseed_name, tick, event, station) with event ``detected``, ``reset`` or ``late``.
 
     ``latest`` has the last row of each station's frame (mseed_name, station, tick, p_Arrival, data_prediction). A
     tick counts once all stations have sent theirs; incomplete ticks wait in the state until a later tick is
-    complete, and for ``wait_ticks`` behind the newest one at most. The rules are those of ``operators.alerts``; ``rule`` names the
+    complete, and for ``wait_ticks`` behind the newest one at most. Then each frame they hold comes out as ``late`` with its station, and
+    so does every frame that arrives for a tick behind. The rules are those of ``operators.alerts``; ``rule`` names the
     reset, that of the panel or the map.
+
+    With ``delay`` recordings end: once the watermark, so far behind the newest tick of all recordings, has passed a recording's
+    last tick by ``wait_ticks``, what it still holds comes out as ``late`` and its state is removed. Frames behind the watermark itself are
+    dropped by Spark; split them off before (:mod:`.late`) where that can happen.
     """
     if rule not in ("panel", "map"):
         raise ValueError(f"unknown rule {rule}")
     order = list(stations)
 
+    def overdue(name: str, ticks: dict[int, dict]) -> list[tuple]:
+        return [(name, t, "late", s) for t in sorted(ticks) for s in order if s in ticks[t]]
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         found, last_tick, pending = state.get if state.exists else (False, None, "{}")
         ticks = {int(t): seen for t, seen in json.loads(pending).items()}
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame(overdue(key[0], ticks), columns=["mseed_name", "tick", "event", "station"])
+            return
         for batch in batches:
             for tick, station, picked, detects in zip(batch["tick"], batch["station"], batch["picked"], batch["detects"]):
                 if last_tick is None or tick > last_tick:
                     ticks.setdefault(int(tick), {})[station] = [bool(picked), bool(detects)]
-        out = []
+                else:
+                    out.append((key[0], int(tick), "late", station))
         for tick in sorted(t for t, seen in ticks.items() if len(seen) == len(order)):
             seen = ticks[tick]
             detecting = [s for s in order if seen[s][1]]
@@ -49,12 +64,19 @@ def stream_alerts(latest: DataFrame, stations: Sequence[str] = PRIORITY, rule: s
             last_tick = tick
         oldest = max([*ticks, last_tick or 0]) - wait_ticks
         waiting = {t: seen for t, seen in ticks.items() if t > oldest and (last_tick is None or t > last_tick)}
+        out += overdue(key[0], {t: seen for t, seen in ticks.items() if t not in waiting and len(seen) < len(order)})
         state.update((found, last_tick, json.dumps(waiting)))
+        if delay is not None:
+            ends = (max([*ticks, last_tick or 0]) + wait_ticks) * 1000
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["mseed_name", "tick", "event", "station"])
 
     picked = F.coalesce(F.col("p_Arrival") > 0, F.lit(False))
     rows = latest.where(F.col("station").isin(order)).select(
         "mseed_name", "station", F.col("tick").cast("bigint").alias("tick"), picked.alias("picked"),
         F.col("data_prediction.lat").isNotNull().alias("detects"))
-    return rows.groupBy("mseed_name").applyInPandasWithState(
-        run, ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout
+    if delay is not None:
+        rows = rows.withColumn("at", F.timestamp_seconds("tick")).withWatermark("at", delay)
+        timeout = GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("mseed_name").applyInPandasWithState(run, ALERT_SCHEMA, STATE_SCHEMA, "append", timeout)

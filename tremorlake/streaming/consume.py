@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -94,6 +94,15 @@ class DeliveryCounts(StreamingQueryListener):
             time.sleep(0.05)
         return dict(self.totals[str(query.runId)])
 
+    def store(self, spark: SparkSession, query: StreamingQuery, path: str) -> None:
+        """Keep the totals of a run that has ended as a row of a table, by run id."""
+        totals = self.of(query)
+        row = spark.range(1).select(F.lit(str(query.id)).alias("query_id"), *[F.lit(n).cast("bigint").alias(c) for c, n in totals.items()])
+        row.write.mode("overwrite").parquet(f"{path}/run={query.runId}")
+
+
+RUN_COUNTS = "query_id STRING, delivered BIGINT, rejected BIGINT"
+
 
 def table_handler(path: str) -> Handler:
     """Write each batch to its own folder, so that a repeated batch replaces itself."""

@@ -1,6 +1,6 @@
 """One-second and rolling frames on event time.
 
-Rows later than the watermark are not in the frames and are not kept here: who needs them also writes the stream to the sample table.
+Rows later than the watermark are not in the frames and are not kept here; :mod:`.late` keeps them.
 """
 
 from __future__ import annotations
