@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterable, Iterator
 
@@ -32,15 +33,28 @@ def parts(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 
 
+def give_back() -> None:
+    """Return memory that a task no longer uses to the system; Spark's Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in some C libraries
+    if trim is not None:
+        trim(0)
+
+
 def steps(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows whose text takes about ``most_bytes``; a longer single text is a run of its own."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        start, held = 0, 0
-        for i, n in enumerate(sizes):
-            if held and held + n > most_bytes:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += int(n)
-        if start < batch.num_rows:
-            yield batch.slice(start)
+    """The batches cut into runs of rows whose text takes about ``most_bytes``; a longer single text is a run of its own.
+
+    Behind the last one, memory goes back to the system."""
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            start, held = 0, 0
+            for i, n in enumerate(sizes):
+                if held and held + n > most_bytes:
+                    yield batch.slice(start, i - start)
+                    start, held = i, 0
+                held += int(n)
+            if start < batch.num_rows:
+                yield batch.slice(start)
+    finally:
+        give_back()

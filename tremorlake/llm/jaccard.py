@@ -178,7 +178,9 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similar
         a, b = np.searchsorted(at, [low, low + wide])
         member = np.zeros((len(sets), wide), np.float32)
         member[owner[a:b], at[a:b] - low] = 1
-        common += member[left] @ member[right].T
+        other = member[right].T
+        for row in range(0, len(left), 1024):
+            common[row:row + 1024] += member[left[row:row + 1024]] @ other
     return common >= similarity * (sizes[left][:, None] + sizes[right][None, :] - common)
 
 

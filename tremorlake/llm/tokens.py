@@ -56,7 +56,7 @@ class PieceEncoder:
     ``drops_space``: the tokenizer ignores white space and lowers letters, so pieces that differ in those only are one.
     """
 
-    def __init__(self, path: str, drops_space: bool = False, remembered: int = 600_000, remembered_bytes: int = 24 << 20):
+    def __init__(self, path: str, drops_space: bool = False, remembered: int = 600_000, remembered_bytes: int = 8 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
@@ -71,8 +71,8 @@ class PieceEncoder:
 
     def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found, sizes = [np.empty(0, np.uint32)], [0]
-        for start in range(0, len(pieces), 8192):
-            run = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.slice(start, 8192).to_pylist(), add_special_tokens=False)]
+        for start in range(0, len(pieces), 2048):  # the library holds more than the ids of each
+            run = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.slice(start, 2048).to_pylist(), add_special_tokens=False)]
             sizes.extend(map(len, run))
             found.append(np.fromiter((x for ids in run for x in ids), np.uint32))
         return np.concatenate(found), np.cumsum(sizes)
