@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Fixed value: the white space of the contracts, [\x20\x09-\x0D], as Java and DuckDB patterns read it.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -33,6 +35,16 @@ def parts(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 
 
+#: Rows of an Arrow batch of whole texts, which both the JVM and Python hold several times.
+TEXTS_PER_BATCH = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and have texts go to Python in batches that stay small when texts are long (a setting of the session)."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
+
+
 def give_back() -> None:
     """Return memory that a task no longer uses to the system; Spark's Python workers live on between stages."""
     pa.default_memory_pool().release_unused()

@@ -36,11 +36,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import WORD, steps, text_or_empty
+from .common import WORD, give_back, steps, text_or_empty
 from .components import components
 
 STEP_BYTES = 1 << 20
 _DEEPER = 2  # levels that a further split adds
+_LARGE = 512  # rows of a group behind which memory is given back
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -159,6 +160,7 @@ def _similar_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
                 common = len(np.intersect1d(p, q, assume_unique=True)) if possible else 0
                 keep.append(common >= similarity * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a BINARY, b BINARY")
 
@@ -224,6 +226,8 @@ def _links_between(members: DataFrame, similarity: float) -> DataFrame:
         joined = merged(codes, similar(sets, left, right, similarity), left, right)
         first = rows["v"].to_numpy()[np.unique(codes, return_index=True)[1]]
         moved = np.flatnonzero(joined != np.arange(len(joined)))
+        if len(rows) > _LARGE:
+            give_back()
         return pd.DataFrame({"a": first[moved], "b": first[joined[moved]]})
 
     return members.groupBy("node", "first", "second").applyInPandas(search, "a BINARY, b BINARY")
@@ -242,6 +246,9 @@ def _link_counts(members: DataFrame, similarity: float) -> DataFrame:
         links[left] += near @ copies[right]
         if key[1] != key[2]:
             links[right] += copies[left] @ near
+        if len(rows) > _LARGE:
+            del near
+            give_back()
         return pd.DataFrame({"v": rows["v"], "links": links.round().astype("int64")})
 
     found = members.groupBy("label", "first", "second").applyInPandas(count, "v BINARY, links BIGINT")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, steps
+from .common import give_back, parts, steps
 from .tokens import PieceEncoder
 
 STEP_BYTES = 1 << 20
@@ -228,6 +228,7 @@ def pack(pieces: DataFrame, capacity: int, n_docs: int, docs_per_group: int = 40
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop(columns="pack_group").sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
         number, offset = pack_lengths(rows["length"].to_numpy(), capacity)
+        give_back()
         return rows.assign(sequence_id=(int(key[0]) << 32) + number, offset=offset)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(columns).schema)
