@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tremorlake.llm import dedup, jaccard, mixing, packing, quality
-from tremorlake.llm.common import read
+from tremorlake.llm.common import prepare, read
 from tremorlake.llm.queries import SEQUENCE
-from tremorlake.session import shared_path, ship_package
+from tremorlake.session import shared_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A null text is scored as an empty one; repeated rows are all kept or all rejected; without labels of both kinds all stay.
     """
-    ship_package(spark)
+    prepare(spark)
     return quality.good_documents(docs, read(spark, sf_dir, "labels"))
 
 
@@ -29,7 +29,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null, empty and blank texts are copies of each other. Of repeated rows one stays.
     """
-    ship_package(spark)
+    prepare(spark)
     return dedup.distinct_documents(docs)
 
 
@@ -38,7 +38,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Documents without words are no copies of each other and all stay. Of repeated rows one stays.
     """
-    ship_package(spark)
+    prepare(spark)
     return jaccard.first_of_each_class(docs)
 
 
@@ -47,7 +47,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source of its own, the last. Documents without words stay once.
     """
-    ship_package(spark)
+    prepare(spark)
     return mixing.mixed_documents(docs)
 
 
@@ -56,7 +56,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are a piece of the end id alone. A doc_id must be a whole number or null.
     """
-    ship_package(spark)
+    prepare(spark)
     pieces = packing.token_pieces(docs, SEQUENCE, public_tokenizers.path("byte_bpe_50k.json"), 0)
     return packing.pack(pieces, SEQUENCE, docs.count())
 
