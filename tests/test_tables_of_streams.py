@@ -185,7 +185,7 @@ def test_no_tick_vanishes(spark, tmp_path):
     whole = [frame("r", s, 10, lat=-9.0) for s in ("GMJI", "JAGI", "PWJI")]
     parts = [[frame("r", "GMJI", 8), frame("r", "JAGI", 8), frame("r", "GMJI", 12)], whole, [frame("r", "PWJI", 8), frame("r", "GMJI", 30)]]
     stream = write_in_order(spark, tmp_path, parts, FRAME)
-    found = run_to_table(alerts.stream_alerts(stream, wait_ticks=15), "alerts").collect()
+    found = run_to_table(alerts.stream_alerts(stream, wait_ticks=15, late=True), "alerts").collect()
     got = sorted((r["tick"], r["event"], r["station"] or "") for r in found)
     # 8 is given up when 10 is complete, its third frame comes behind; 12 is 18 behind the newest; 30 still waits.
     assert got == [(8, "late", "GMJI"), (8, "late", "JAGI"), (8, "late", "PWJI"), (10, "detected", "JAGI"), (12, "late", "GMJI")]
@@ -194,7 +194,7 @@ def test_no_tick_vanishes(spark, tmp_path):
 def test_finished_recordings_leave_the_state(spark, tmp_path):
     parts = [[frame("a", "GMJI", 10), frame("a", "JAGI", 10)], [frame("b", "GMJI", 100)], [frame("b", "GMJI", 5000)], [frame("c", "GMJI", 9000)]]
     stream = write_in_order(spark, tmp_path, parts, FRAME)
-    held = alerts.stream_alerts(stream, wait_ticks=30, delay="10 seconds")
+    held = alerts.stream_alerts(stream, wait_ticks=30, delay="10 seconds", late=True)
     query = held.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
     query.awaitTermination()
     rows = spark.read.schema(alerts.ALERT_SCHEMA).parquet(str(tmp_path / "out")).collect()

@@ -563,8 +563,7 @@ def stream_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _live_alerts(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
     latest = stored(frames.latest_row(views.station_frames(spark, sf_dir)), "latest")
-    found = run_to_table(stream_alerts.stream_alerts(views.staged_stream(latest, "tick", "staged-latest"), rule=rule), "stream-alerts")
-    return found.where("event != 'late'")
+    return run_to_table(stream_alerts.stream_alerts(views.staged_stream(latest, "tick", "staged-latest"), rule=rule), "stream-alerts")
 
 
 @query
@@ -586,7 +585,7 @@ def stream_alert_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.lit(None).cast("int").alias("p_Arrival"), F.first("data_prediction").alias("data_prediction"))
     closing = latest.agg(end.alias("r")).select("r.*")
     stream = views.staged_stream(latest, "tick", "staged-expiring", closing)
-    found = run_to_table(stream_alerts.stream_alerts(stream, wait_ticks=30, delay="10 seconds"), "stream-expiry")
+    found = run_to_table(stream_alerts.stream_alerts(stream, wait_ticks=30, delay="10 seconds", late=True), "stream-expiry")
     return found.where("mseed_name != 'end'")
 
 

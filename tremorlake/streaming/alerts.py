@@ -17,23 +17,26 @@ STATE_SCHEMA = "found BOOLEAN, last_tick BIGINT, pending STRING"
 
 
 def stream_alerts(latest: DataFrame, stations: Sequence[str] = PRIORITY, rule: str = "panel", wait_ticks: int = 3600,
-                  delay: str | None = None) -> DataFrame:
-    """(mseed_name, tick, event, station) with event ``detected``, ``reset`` or ``late``.
+                  delay: str | None = None, late: bool = False) -> DataFrame:
+    """(mseed_name, tick, event, station) with event ``detected`` or ``reset``, and with ``late`` also that.
 
     ``latest`` has the last row of each station's frame (mseed_name, station, tick, p_Arrival, data_prediction). A
     tick counts once all stations have sent theirs; incomplete ticks wait in the state until a later tick is
-    complete, and for ``wait_ticks`` behind the newest one at most. Then each frame they hold comes out as ``late`` with its station, and
-    so does every frame that arrives for a tick behind. The rules are those of ``operators.alerts``; ``rule`` names the
+    complete, like in the batch alerts however long that takes. With ``late`` they wait for ``wait_ticks`` behind the newest one at most, and
+    each frame of a tick that is given up comes out as ``late`` with its station, as does every frame that arrives for a tick behind. The rules are those of ``operators.alerts``; ``rule`` names the
     reset, that of the panel or the map.
 
     With ``delay`` recordings end: once the watermark, so far behind the newest tick of all recordings, has passed a recording's
-    last tick by ``wait_ticks``, what it still holds comes out as ``late`` and its state is removed. Frames behind the watermark itself are
+    last tick by ``wait_ticks``, its state is removed, and what it still holds comes out with ``late``. Frames behind the watermark itself are
     dropped by Spark; split them off before (:mod:`.late`) where that can happen.
     """
     if rule not in ("panel", "map"):
         raise ValueError(f"unknown rule {rule}")
     order = list(stations)
 
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["mseed_name", "tick", "event", "station"])
+
     def overdue(name: str, ticks: dict[int, dict]) -> list[tuple]:
         return [(name, t, "late", s) for t in sorted(ticks) for s in order if s in ticks[t]]
 
@@ -43,7 +46,7 @@ def stream_alerts(latest: DataFrame, stations: Sequence[str] = PRIORITY, rule: s
         out = []
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame(overdue(key[0], ticks), columns=["mseed_name", "tick", "event", "station"])
+            yield table(overdue(key[0], ticks) if late else [])
             return
         for batch in batches:
             for tick, station, picked, detects in zip(batch["tick"], batch["station"], batch["picked"], batch["detects"]):
@@ -62,14 +65,14 @@ def stream_alerts(latest: DataFrame, stations: Sequence[str] = PRIORITY, rule: s
                 out.append((key[0], tick, "reset", None))
                 found = False
             last_tick = tick
-        oldest = max([*ticks, last_tick or 0]) - wait_ticks
-        waiting = {t: seen for t, seen in ticks.items() if t > oldest and (last_tick is None or t > last_tick)}
+        oldest = max([*ticks, last_tick or 0]) - wait_ticks if late else None
+        waiting = {t: seen for t, seen in ticks.items() if (oldest is None or t > oldest) and (last_tick is None or t > last_tick)}
         out += overdue(key[0], {t: seen for t, seen in ticks.items() if t not in waiting and len(seen) < len(order)})
         state.update((found, last_tick, json.dumps(waiting)))
         if delay is not None:
             ends = (max([*ticks, last_tick or 0]) + wait_ticks) * 1000
             state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["mseed_name", "tick", "event", "station"])
+        yield table([row for row in out if late or row[2] != "late"])
 
     picked = F.coalesce(F.col("p_Arrival") > 0, F.lit(False))
     rows = latest.where(F.col("station").isin(order)).select(
