@@ -72,11 +72,12 @@ def staged_stream(rows: DataFrame, order: str, label: str, closing: DataFrame |
     path = shared_path(spark, label)
     low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
     slices = max(MIN_SLICES, math.ceil(n / SLICE_ROWS))
-    files = max(2, math.ceil(n / slices / FILE_ROWS))
+    files = max(1, math.ceil(n / slices / FILE_ROWS))
     step = 1 if low is None else (high - low) // slices + 1
     for i in range(slices if low is not None else 0):
         part = rows.where(F.col(order).between(low + i * step, low + (i + 1) * step - 1))
-        part.repartitionByRange(files, order).write.mode("append").parquet(path)
+        # Round robin, not by range: equal values would leave files out, and the next slice's files, in any order, would move up.
+        part.repartition(files).write.mode("append").parquet(path)
     for last in [closing] if closing is not None else []:
         last.coalesce(1).write.mode("append").parquet(path)
     return replay_stream(spark, path, rows.schema, files)
