@@ -11,6 +11,7 @@ give no rows. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -23,10 +24,15 @@ from pyspark.sql import functions as F
 from .common import give_back, parts, steps
 from .tokens import PieceEncoder
 
-STEP_BYTES = 1 << 20
+STEP_BYTES = 4 << 20
 _PIECE = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
 
 
+@functools.cache
+def _encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
+
+
 def first_length(tokens: int, capacity: int) -> int:
     """Tokens of a document's first piece; the further pieces are full."""
     return tokens if tokens <= capacity else (tokens % capacity or capacity)
@@ -36,7 +42,7 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, wi
     """Pieces of every document: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in steps(batches, "text", STEP_BYTES):
             ids, borders = encoder.encode(batch.column("text"), end_id)
             raw = ids.astype("<u4", copy=False)

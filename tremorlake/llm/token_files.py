@@ -15,6 +15,7 @@ texts' hashes. Empty texts have the end id alone. Empty tables give empty files.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from .common import steps, text_or_empty
 from .elias_fano import EliasFano
 from .tokens import PieceEncoder
 
-STEP_BYTES = 1 << 20
+STEP_BYTES = 4 << 20
 _CODES = ("ends", "doc")
 BLOCKS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()),
@@ -40,6 +41,11 @@ BLOCKS = T.StructType([
       for f in ("width", "low", "high", "ranks")]])
 
 
+@functools.cache
+def _encoder(path: str, drops_space: bool) -> PieceEncoder:
+    return PieceEncoder(path, drops_space)
+
+
 def block_row(ids: np.ndarray, ends: np.ndarray, doc_ids: list[int | None]) -> dict:
     """One block's columns. ``doc_ids`` ascend, nulls first."""
     known = [d for d in doc_ids if d is not None]
@@ -70,7 +76,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer, drops_space)
+        encoder = _encoder(tokenizer, drops_space)
         part, block, written = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
         ends: list[int] = []
