@@ -369,6 +369,8 @@ FROM timed WHERE ts >= TIMESTAMP '2024-01-09 12:00:00' GROUP BY station, channel
 FROM timed WHERE ts < TIMESTAMP '2024-01-09 12:00:00' GROUP BY station, channel, t_us""",
         "binary_ingest": f"""{w}{SAMPLES} SELECT mseed_name, station, channel, idx % {LOCAL} AS sample_no, t_us, data FROM samples""",
         "binary_samples": f"{w}{SAMPLES} SELECT mseed_name, station, channel, idx % {LOCAL} AS idx, t_us, data FROM samples",
+        "binary_splits": f"""{w}{SAMPLES} SELECT 'part-' || (idx // (16 * {LOCAL})) AS file, station, channel, 1::BIGINT AS segment,
+  idx % (16 * {LOCAL}) AS idx, t_us, data FROM samples""",
         "stream_frame": f"{w}{WIDE} SELECT tick, t_us, {', '.join(KEYS)} FROM wide",
         "stream_sliding": f"""{w}{SAMPLES}, shown AS (SELECT *, unnest(range(tick, tick + 4)) AS seen FROM samples)
 SELECT seen AS tick, station, channel, count(*) AS n, {_points('data', 't_us')} AS points FROM shown

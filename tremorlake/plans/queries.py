@@ -18,7 +18,7 @@ from ..operators import alerts, align, frames, neighbours, picks, quality, signa
 from ..operators import stations as station_ops
 from ..schemas import CHANNELS, STATIONS
 from ..session import shared_path, ship_package, stored
-from ..sources import documents, messages, waveform
+from ..sources import documents, messages, splits, waveform
 from ..sources import samples as sample_store
 from ..sources import stations as station_table
 from ..streaming import alerts as stream_alerts
@@ -510,6 +510,17 @@ def binary_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("file").alias("mseed_name"), *TRACE, "idx", us(), "data")
 
 
+@query
+def binary_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real files of several recordings, indexed, read by ranges of records and unrolled block by block."""
+    path = shared_path(spark, "waveform-files")
+    views.write_waveform_files(spark, sf_dir, path)
+    ranges = stored(splits.index_files(splits.list_files(spark, path), range_bytes=1 << 16), "record-index")
+    records = stored(splits.decode_ranges(ranges, task_bytes=1 << 22), "records")
+    rows = splits.long_record_samples(records)
+    return rows.select(F.element_at(F.split("file", "/"), -1).alias("file"), "station", "channel", "segment", "idx", us(), "data")
+
+
 @query
 def binary_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that cannot be read, in files whose other records all are."""

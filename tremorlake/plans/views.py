@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.times import SAMPLE_STEP_US, SECOND_US, tick_of
 from ..schemas import CHANNELS, PREDICTION, STATIONS
 from ..session import shared_path
+from ..sources.splits import write_file
 from ..streaming.runs import replay_stream
 
 # Fixed value: the instant the replay starts at, 2015-08-20 15:12:01 UTC.
@@ -215,3 +216,18 @@ def waveform_files(spark: SparkSession, sf_dir: str, with_unusable: bool = False
     records = rows.mapInPandas(run, "path string, no int, content binary")
     joined = records.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("no", F.hex("content").alias("content")))).alias("r"))
     return joined.select("path", F.unhex(F.array_join("r.content", "")).alias("content"))
+
+
+def write_waveform_files(spark: SparkSession, sf_dir: str, path: str, recordings: int = 16) -> None:
+    """Real files ``part-N`` in a folder, each with the records of ``recordings`` recordings that follow on one another."""
+    part = F.expr(f"(unix_micros(starttime) - {START_US}) div {RECORDING_US * recordings}")
+    rows = traces(spark, sf_dir).select(part.alias("part"), "trace_no", "station", "channel", F.unix_micros("starttime").alias("start_us"), "data")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["start_us", "trace_no"])
+        content = b"".join(_encode_record(n, s, c, us, 25, x) for n, s, c, us, x in zip(
+            part["trace_no"], part["station"], part["channel"], part["start_us"], part["data"]))
+        write_file(f"{path}/part-{part['part'].iloc[0]}", content)
+        return pd.DataFrame({"n": [len(part)]})
+
+    rows.groupBy("part").applyInPandas(run, "n BIGINT").agg(F.sum("n")).collect()

@@ -18,6 +18,9 @@ WAVE_RECORD = (
     "start_us BIGINT, sampling_rate DOUBLE, npts INT, data ARRAY<DOUBLE>, error STRING"
 )
 
+# Whole records of a waveform file that one task reads.
+RECORD_RANGE = "path STRING, first_record BIGINT, offset BIGINT, length BIGINT"
+
 SAMPLE = "station STRING, channel STRING, t TIMESTAMP, data DOUBLE, ingest_seq BIGINT"
 
 SAMPLE_EVENT = "station STRING, channel STRING, time STRING, data DOUBLE, injected_to_preprocessed_at STRING"

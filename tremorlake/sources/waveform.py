@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
@@ -57,6 +58,9 @@ def _differences(frames: np.ndarray, encoding: int, count: int) -> np.ndarray:
     return out.astype(float)
 
 
+FORMAT_ERRORS = (struct.error, ValueError, KeyError, IndexError, OverflowError)
+
+
 class UnusableRecord(Exception):
     """A record that ends where it says, but whose content cannot be read."""
 
@@ -65,8 +69,8 @@ class UnusableRecord(Exception):
         self.length = length
 
 
-def _record(buf: bytes, at: int) -> tuple[int, dict]:
-    """The record at an offset: its length in bytes and its fields."""
+def layout(buf: bytes, at: int) -> tuple[int, tuple]:
+    """The length in bytes of the record at an offset, and what its blockettes say about reading it."""
     year = struct.unpack_from(">H", buf, at + 20)[0]
     order = ">" if 1900 <= year <= 2100 else "<"
     link = struct.unpack_from(order + "H", buf, at + 46)[0]
@@ -80,12 +84,21 @@ def _record(buf: bytes, at: int) -> tuple[int, dict]:
             micro = struct.unpack_from("b", buf, at + link + 5)[0]
         elif kind == 100:
             rate = struct.unpack_from(order + "f", buf, at + link + 4)[0]
+        if 0 < following <= link:
+            raise ValueError("blockettes out of order")
         link = following
     if not length:
         raise ValueError("record without its length and encoding")
+    return length, (order, length, encoding, word_order, rate, micro)
+
+
+def _record(buf: bytes, at: int) -> tuple[int, dict]:
+    """The record at an offset: its length in bytes and its fields."""
+    length, how = layout(buf, at)
     try:
-        return length, _fields(buf, at, order, length, encoding, word_order, rate, micro)
-    except (struct.error, ValueError, KeyError, IndexError, OverflowError) as e:
+        # Its own bytes only, so that a wrong number of samples doesn't reach into the next record.
+        return length, _fields(buf[at:at + length], 0, *how)
+    except FORMAT_ERRORS as e:
         raise UnusableRecord(length, str(e)) from e
 
 
@@ -112,39 +125,41 @@ def _fields(buf: bytes, at: int, order: str, length: int, encoding: int, word_or
                 npts=int(count), data=data)
 
 
-def _records(path: str, content: bytes) -> Iterator[dict]:
-    """The records of a file in order. A record that cannot be read becomes an error row and the next one follows; only bytes
-    that do not even tell a record's length end the file."""
-    at, number = 0, 0
+def _records(path: str, content: bytes, number: int = 0, offset: int = 0) -> Iterator[dict]:
+    """The records of a file in order, or those of its bytes from ``offset`` on, the first of them with ``number``.
+
+    A record that cannot be read becomes an error row and the next one follows; only bytes that do not even tell a record's length
+    end the file.
+    """
+    at = 0
     while at < len(content):
         try:
             length, fields = _record(content, at)
         except UnusableRecord as e:
-            yield {"file": path, "record_no": number, "data": None, "error": f"byte {at}: {e}"}
+            yield {"file": path, "record_no": number, "data": None, "error": f"byte {offset + at}: {e}"}
             at, number = at + e.length, number + 1
             continue
-        except (struct.error, ValueError, KeyError, IndexError, OverflowError) as e:
-            yield {"file": path, "record_no": number, "data": None, "error": f"byte {at}: {e}"}
+        except FORMAT_ERRORS as e:
+            yield {"file": path, "record_no": number, "data": None, "error": f"byte {offset + at}: {e}"}
             return
         yield {"file": path, "record_no": number, **fields, "error": None}
         at, number = at + length, number + 1
 
 
-def decode_files(files: DataFrame) -> DataFrame:
-    """Rows (path, content) to one row per record, in bounded batches; works on batch and streaming input."""
+def record_frames(path: str, content: bytes, number: int = 0, offset: int = 0) -> Iterator[pd.DataFrame]:
+    """The records of a file, or of a range of it, in frames of bounded length."""
     columns = [part.split()[0] for part in WAVE_RECORD.split(", ")]
+    records = _records(path, content, number, offset)
+    while rows := list(itertools.islice(records, RECORD_BATCH)):
+        yield pd.DataFrame(rows, columns=columns, dtype=object)
+
 
+def decode_files(files: DataFrame) -> DataFrame:
+    """Rows (path, content) to one row per record, in bounded batches; works on batch and streaming input."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                rows = []
-                for row in _records(path, bytes(content)):
-                    rows.append(row)
-                    if len(rows) == RECORD_BATCH:
-                        yield pd.DataFrame(rows, columns=columns, dtype=object)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+                yield from record_frames(path, bytes(content))
 
     return files.select("path", "content").mapInPandas(run, WAVE_RECORD)
 
@@ -165,7 +180,7 @@ def record_errors(records: DataFrame) -> DataFrame:
     return records.select("file", "record_no", reason.alias("error")).where(F.col("error").isNotNull())
 
 
-def _channel_id() -> list[str]:
+def channel_id() -> list[str]:
     return ["file", "network", "station", "location", "channel"]
 
 
@@ -174,7 +189,7 @@ def number_segments(records: DataFrame) -> DataFrame:
 
     The windows are per file and channel, and a file is at most what one ``binaryFile`` row can hold.
     """
-    order = Window.partitionBy(*_channel_id()).orderBy("start_us", "record_no")
+    order = Window.partitionBy(*channel_id()).orderBy("start_us", "record_no")
     step = F.lit(1_000_000.0) / F.col("sampling_rate")
     stop = F.col("start_us") + F.col("npts") * step
     rows = records.where(F.col("error").isNull() & (F.col("npts") > 0) & (F.col("sampling_rate") > 0)).withColumn("_stop", F.lag(stop).over(order))
@@ -186,7 +201,7 @@ def number_segments(records: DataFrame) -> DataFrame:
 def assemble_traces(records: DataFrame) -> DataFrame:
     """One row per trace: adjoining records joined, numbered per file in order of appearance."""
     pieces = number_segments(records)
-    whole = pieces.groupBy(*_channel_id(), "segment").agg(
+    whole = pieces.groupBy(*channel_id(), "segment").agg(
         F.min("record_no").alias("_first"), F.min("start_us").alias("_start"),
         F.max("sampling_rate").alias("sampling_rate"), F.sum("npts").cast("int").alias("npts"),
         F.array_sort(F.collect_list(F.struct("start_us", "record_no", "data"))).alias("_parts"))
@@ -205,8 +220,13 @@ def record_samples(records: DataFrame) -> DataFrame:
 
     For files too long to hold a trace in one row; the rows go into the block-wise signal operators.
     """
-    trace = [*_channel_id(), "segment"]
-    rows = number_segments(records).withColumn("_from", F.min("start_us").over(Window.partitionBy(*trace)))
+    trace = [*channel_id(), "segment"]
+    return unrolled(number_segments(records).withColumn("_from", F.min("start_us").over(Window.partitionBy(*trace))))
+
+
+def unrolled(rows: DataFrame) -> DataFrame:
+    """Sample rows of records with their segment and its start ``_from``."""
+    trace = [*channel_id(), "segment"]
     step = F.lit(1_000_000.0) / F.col("sampling_rate")
     # Half a sample of slack is allowed between records, so the place of a record is the nearest whole sample.
     first = F.round((F.col("start_us") - F.col("_from")) / step).cast("bigint")
