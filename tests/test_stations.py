@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremorlake.functions.geo import EARTH_RADIUS_KM, great_circle_km
-from tremorlake.operators import neighbours, stations
+from tremorlake.operators import neighbours, refresh, stations
 
 SCHEMA = "name string, description string, x double, y double"
 KNOWN = [("GMJI", None, -8.0219, 111.8), ("PWJI", None, -8.2732, 113.4441), ("JAGI", None, -8.47, 114.15)]
@@ -41,6 +41,12 @@ def test_few_stations(spark):
     assert closest(spark, KNOWN[:1]) == {"GMJI": []}
 
 
+def test_stations_without_a_position_count_nowhere(spark):
+    rows = [("a", None, 60.0, 40.0), ("b", None, -20.0, 40.0), ("c", None, 89.0, 0.0), ("d", None, -60.0, 90.0), ("e", None, 10.0, 170.0)]
+    nowhere = [(f"n{i}", None, *at) for i, at in enumerate([(None, None), (None, 1.0), (1.0, None)])]
+    assert closest(spark, rows + nowhere, leaf=1) == by_force(rows)
+
+
 def test_neighbours_equal_all_pairs(spark):
     rnd = random.Random(2)
     at = [(rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for _ in range(120)]
@@ -100,3 +106,35 @@ def test_lookup_and_existence(spark):
     assert {r["name"]: r["found"] for r in stations.lookup(table, asked).collect()} == {"GMJI": True, "nowhere": False}
     assert [r["name"] for r in stations.new_names(asked, table).collect()] == ["nowhere"]
     assert [r["name"] for r in stations.known_names(asked, table).collect()] == ["GMJI"]
+
+
+def _after(rows, rnd, n):
+    """The rows after n random changes, some beside others, some onto others."""
+    rows = {r[0]: r for r in rows}
+    for i in range(n):
+        name, near = rnd.choice(sorted(rows)), rows[rnd.choice(sorted(rows))]
+        at = rnd.choice([(near[2], near[3]), (near[2] + 1e-4, near[3]), (rnd.uniform(-90, 90), rnd.uniform(-180, 180))])
+        how = rnd.randrange(3)
+        if how == 0 and len(rows) > 1:
+            del rows[name]
+        else:
+            new = name if how == 1 else f"n{i:03d}"
+            rows[new] = (new, None, *at)
+    return list(rows.values())
+
+
+@pytest.mark.parametrize("seed, stations_n, changes", [(1, 150, 6), (2, 150, 60), (3, 4, 3), (4, 60, 0)])
+def test_refresh_equals_full_search(spark, seed, stations_n, changes):
+    rnd = random.Random(seed)
+    rows = [(f"s{i:03d}", None, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(stations_n)]
+    rows += [(f"c{i:03d}", None, 5.0, 5.0 + 1e-5 * (i % 4)) for i in range(stations_n // 3)] + [("pole", None, 90.0, 3.0), ("date", None, 1.0, 180.0)]
+    before = neighbours.with_closest(spark.createDataFrame(rows, SCHEMA))
+    now = _after(rows, rnd, changes)
+    table = spark.createDataFrame([*now, ("nowhere", None, None, None)], SCHEMA)
+    out = refresh.refreshed(before, table, leaf=4).collect()
+    assert {r["name"]: r["closest_stations"] for r in out} == by_force(now) | {"nowhere": []}
+    again = [r["name"] for r in out if r["recomputed"]]
+    old = {r[0]: r for r in rows}
+    assert {r[0] for r in now if old.get(r[0]) != r} <= set(again)
+    if changes < 10 and stations_n > 50:
+        assert len(again) <= 20 * changes

@@ -38,7 +38,9 @@ def _cell(level: Column) -> list[Column]:
 def positions(stations: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
     """The distinct positions, and for each its k + 1 smallest names (more can never be shown)."""
     rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("name"))
-    names = stations.select("name", "x", "y").withColumn("_r", rank).where(F.col("_r") <= k + 1)
+    # Rows without a position would be counted in a corner's cell, as the smaller of null and a number is the number.
+    placed = stations.select("name", "x", "y").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    names = placed.withColumn("_r", rank).where(F.col("_r") <= k + 1)
     names = stored(names.groupBy("x", "y").agg(F.sort_array(F.collect_list("name")).alias("names")), "positions")
     vx, vy, vz = unit_vector("x", "y")
     places = names.select("x", "y", vx.alias("vx"), vy.alias("vy"), vz.alias("vz"))
@@ -94,10 +96,11 @@ def _within_reach(rows: DataFrame, k: int) -> DataFrame:
     )
 
 
-def candidate_positions(places: DataFrame, k: int = K, leaf: int = LEAF_POSITIONS) -> DataFrame:
-    """(px, py, x, y): for each position, a small superset of itself and its k nearest other positions."""
+def candidate_positions(places: DataFrame, k: int = K, leaf: int = LEAF_POSITIONS, asked: DataFrame | None = None) -> DataFrame:
+    """(px, py, x, y): for each position, or each of the ``asked`` (x, y), a small superset of itself and its k nearest other positions."""
     tree, leaves, depth = _cells(places, leaf)
-    frontier = places.select(*[F.col(c).alias(f"p{c}") for c in ("x", "y", *_AXES)],
+    start = places if asked is None else places.join(asked.select("x", "y"), ["x", "y"], "left_semi")
+    frontier = start.select(*[F.col(c).alias(f"p{c}") for c in ("x", "y", *_AXES)],
                              *_cell(F.lit(0)))
     # Level 0 is one cell.
     frontier = frontier.join(F.broadcast(tree.where(F.col("level") == 0)), _CELL)
@@ -117,10 +120,10 @@ def candidate_positions(places: DataFrame, k: int = K, leaf: int = LEAF_POSITION
     return frontier.select("px", "py", "level", *_CELL).join(leaves, ["level", *_CELL]).select("px", "py", "x", "y")
 
 
-def nearest(stations: DataFrame, k: int = K, leaf: int = LEAF_POSITIONS) -> DataFrame:
-    """(name, neighbours): up to k (name, km) per station, nearest first."""
+def nearest(stations: DataFrame, k: int = K, leaf: int = LEAF_POSITIONS, at: DataFrame | None = None) -> DataFrame:
+    """(name, neighbours): up to k (name, km) per station, nearest first; only of stations ``at`` some positions, if these are given."""
     places, names = positions(stations, k)
-    near = candidate_positions(places, k, leaf)
+    near = candidate_positions(places, k, leaf, at)
     km = great_circle_km(F.col("px"), F.col("py"), F.col("x"), F.col("y"))
     named = near.join(names, ["x", "y"]).select("px", "py", km.alias("km"), F.explode("names").alias("name"))
     named = named.withColumn("by", F.round("km", DISTANCE_DECIMALS))

@@ -95,9 +95,23 @@ STATION = """stations AS (
   FROM supplier)"""
 
 
-def _nearest(source: str) -> str:
-    return f"""pairs AS (SELECT a.name, b.name AS other, {KM} AS km FROM {source} a JOIN {source} b ON a.name <> b.name),
-near AS (SELECT name, other, km, row_number() OVER (PARTITION BY name ORDER BY round(km, 6), other) AS rank FROM pairs QUALIFY rank <= 3)"""
+def _nearest(source: str, as_: str = "") -> str:
+    return f"""{as_}pairs AS (SELECT a.name, b.name AS other, {KM} AS km FROM {source} a JOIN {source} b ON a.name <> b.name),
+{as_}near AS (SELECT name, other, km, row_number() OVER (PARTITION BY name ORDER BY round(km, 6), other) AS rank FROM {as_}pairs QUALIFY rank <= 3)"""
+
+
+MOVES = f"""moves AS (
+  SELECT ['update','delete','insert'][s_nationkey % 3 + 1] AS op, s_name || CASE WHEN s_nationkey % 3 = 2 THEN 'B' ELSE '' END AS name,
+    s_suppkey * 41 % 160 - 80 + 0.25::DOUBLE AS x, s_suppkey * 67 % 340 - 170 + 0.5::DOUBLE AS y
+  FROM supplier WHERE s_acctbal < 0),
+after AS (SELECT name, x, y FROM stations WHERE name NOT IN (SELECT name FROM moves) UNION ALL SELECT name, x, y FROM moves WHERE op <> 'delete'),
+fresh AS (SELECT a.x, a.y FROM after a LEFT JOIN stations s ON s.name = a.name WHERE s.name IS NULL OR s.x <> a.x OR s.y <> a.y),
+gone AS (SELECT s.name FROM stations s LEFT JOIN after a ON s.name = a.name WHERE a.name IS NULL OR s.x <> a.x OR s.y <> a.y),
+reaches AS (SELECT s.name, s.x, s.y, max(n.km) AS km, count(*) AS n FROM stations s JOIN near n ON n.name = s.name GROUP BY ALL),
+touched AS (
+  SELECT x, y FROM fresh UNION SELECT s.x, s.y FROM stations s JOIN near n ON n.name = s.name WHERE n.other IN (SELECT name FROM gone)
+  UNION SELECT x, y FROM reaches WHERE n < 3
+  UNION SELECT a.x, a.y FROM reaches a, fresh b WHERE round({KM}, 6) <= round(a.km, 6))"""
 
 
 CHANGES = """changes AS (
@@ -305,6 +319,10 @@ SELECT a AS name, b AS other, round(km, 3) + 0.0 AS km FROM linked UNION ALL SEL
         "station_changes": f"""{w}{SNAPSHOT}, {_nearest('snapshot')}
 SELECT s.name, s.description, s.x, s.y, coalesce(string_agg(n.other, ',' ORDER BY n.rank), '') AS closest
 FROM snapshot s LEFT JOIN near n ON n.name = s.name GROUP BY s.name, s.description, s.x, s.y""",
+        "station_refresh": f"""{w}{STATION}, {_nearest('stations')}, {MOVES}, {_nearest('after', 'new_')}
+SELECT a.name, a.x, a.y, (SELECT string_agg(n.other, ',' ORDER BY n.rank) FROM new_near n WHERE n.name = a.name) AS closest,
+  CASE WHEN EXISTS (SELECT 1 FROM touched t WHERE t.x = a.x AND t.y = a.y) THEN 1 ELSE 0 END::BIGINT AS recomputed
+FROM after a""",
         "station_rejections": f"""{w}{STATION}, {CHANGES} SELECT seq, op, name, CASE WHEN op = 'insert' THEN 'exists' ELSE 'not found' END AS reason
 FROM verdicts WHERE NOT accepted""",
         "station_lookup": f"""{w}{STATION}, {CHANGES}, asked AS (SELECT DISTINCT name FROM changes)

@@ -14,7 +14,7 @@ from ..functions.messages import decode_json
 from ..functions.numbers import scale_amplitudes
 from ..functions.text import array_to_text, text_to_array
 from ..functions.times import SECOND_US, micros, snap_micros, tick_of
-from ..operators import alerts, align, frames, neighbours, picks, quality, signal
+from ..operators import alerts, align, frames, neighbours, picks, quality, refresh, signal
 from ..operators import stations as station_ops
 from ..schemas import CHANNELS, STATIONS
 from ..session import shared_path, ship_package, stored
@@ -276,6 +276,15 @@ def station_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.select("name", "description", "x", "y", F.array_join("closest_stations", ",").alias("closest"))
 
 
+@query
+def station_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours after a change set, searched again only where it can reach them."""
+    before = stored(neighbours.with_closest(views.stations(spark, sf_dir)), "before")
+    judged = station_ops.judge_changes(before, views.station_moves(spark, sf_dir))
+    after = refresh.refreshed(before, stored(station_ops.fold_changes(before, judged), "after"))
+    return after.select("name", "x", "y", F.array_join("closest_stations", ",").alias("closest"), F.col("recomputed").cast("bigint").alias("recomputed"))
+
+
 @query
 def station_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = station_ops.judge_changes(views.stations(spark, sf_dir), views.station_changes(spark, sf_dir), seq_block=64)

@@ -189,6 +189,16 @@ def station_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key * 53 % 170 - 85).cast("double").alias("x"), (key * 29 % 350 - 175).cast("double").alias("y"))
 
 
+def station_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A smaller change set: the suppliers in debt move, go, or get a station beside their own."""
+    key = F.col("s_suppkey")
+    op = _pick(("update", "delete", "insert"), F.col("s_nationkey") % 3)
+    return table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(
+        key.alias("seq"), op.alias("op"), F.when(op == "insert", F.concat("s_name", F.lit("B"))).otherwise(F.col("s_name")).alias("name"),
+        F.lit(None).cast("string").alias("description"),
+        (key * 41 % 160 - 80 + F.lit(0.25)).cast("double").alias("x"), (key * 67 % 340 - 170 + F.lit(0.5)).cast("double").alias("y"))
+
+
 def _encode_record(number: int, station: str, channel: str, start_us: int, rate: int, values) -> bytes:
     """A 4096-byte record with up to 500 plain doubles, the simplest form of the format."""
     start = datetime.fromtimestamp(start_us // SECOND_US, UTC) + timedelta(microseconds=start_us % SECOND_US)
