@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -14,12 +16,16 @@ _BOXES = ("html", "body", "div", "section", "article", "main", "nav", "header",
 BLOCKS = frozenset(_TEXT_TAGS + _BOXES)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their text is no part of a page's prose.
-_SILENT = frozenset("script style noscript template title textarea select option button svg iframe object canvas head math datalist audio video".split())
+_SILENT = frozenset("script style noscript template title textarea select option button svg iframe canvas head datalist".split())
 #: A start tag of the second kind ends an open element of the first.
 _ENDS = {"p": BLOCKS - {"html", "body", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
          "tr": {"tr"}, "head": {"body", *BLOCKS} - {"head"}}
 #: An end tag or a closing rule doesn't reach beyond these.
 _SCOPE = {"li": {"ul", "ol", "menu"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
+_WALLS = ("table", "article", "body", "div", "section", "aside", "nav")
+#: By start tag: the open elements it ends, and those it doesn't see beyond.
+_ENDED = {tag: [name for name, by in _ENDS.items() if tag in by] for tag in BLOCKS}
+_BORDERS = {tag: [*_WALLS, *_SCOPE.get(tag, ())] for tag in BLOCKS}
 
 #: Words of class, id and role that tell what a box is for.
 HINTS = {
@@ -62,9 +68,12 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.depths, self.hints, self.marks = ["html"], [-1], [0], [set()], [None]
         self.open: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones with the number of their block
+        # Where they stand in ``open``, so that no tag has to look through it: by tag, silent ones, and each block's place.
+        self.places: dict[str, list[int]] = defaultdict(list, html=[0])
+        self.silent: list[int] = []
+        self.blocks = [0]
         self.pieces: list[tuple[int, str]] = []
         self.buffer: list[str] = []
-        self.links, self.silent = 0, 0
         self.counts = [[0, 0, 0, 0]]  # per block: letters of links, controls, images, inline elements
 
     def flush(self) -> None:
@@ -75,31 +84,35 @@ class _Builder(HTMLParser):
 
     def _pop(self, to: int) -> None:
         """Close the open elements from place ``to`` on."""
-        for tag, _ in reversed(self.open[to:]):
+        while len(self.open) > to:
+            tag = self.open[-1][0]
             if tag in BLOCKS:
                 self.flush()
-            self.links -= tag == "a"
-            self.silent -= tag in _SILENT
+                self.blocks.pop()
+            if tag in _SILENT:
+                self.silent.pop()
+            self.places[tag].pop()
             self.open.pop()
 
+    def _place(self, tags: Iterable[str]) -> int:
+        """The last place of an open element with one of the tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ("html", "body") and any(t == tag for t, _ in self.open):
+        if tag in ("html", "body") and self.places[tag]:
             return
         if tag == "br":
             self.buffer.append(" ")
-        if tag == "a" and self.links:  # links don't nest
+        if tag == "a" and self.places["a"]:  # links don't nest
             self.handle_endtag("a")
         if tag in BLOCKS:
-            for i in range(len(self.open) - 1, 0, -1):
-                name = self.open[i][0]
-                if name in _ENDS and tag in _ENDS[name]:
-                    self._pop(i)
-                    if name != "p":
-                        break
-                elif name in _SCOPE.get(tag, ()) or name in ("table", "article", "body", "div", "section", "aside", "nav"):
+            while (at := self._place(_ENDED[tag])) > self._place(_BORDERS[tag]):
+                ended = self.open[at][0]
+                self._pop(at)
+                if ended != "p":
                     break
-            if self.silent:  # an unclosed silent element ends where a block begins
-                self._pop(next(i for i, (t, _) in enumerate(self.open) if t in _SILENT)) if self.open[-1][0] in _SILENT - {"head"} else None
+            if self.open[-1][0] in _SILENT - {"head"}:  # an unclosed silent element ends where a block begins
+                self._pop(self.silent[0])
         block = self.open[-1][1]
         if tag in ("input", "button", "select", "textarea"):
             self.counts[block][1] += 1
@@ -123,9 +136,13 @@ class _Builder(HTMLParser):
             block = len(self.tags) - 1
         else:
             self.counts[block][3] += 1
+        place = len(self.open)
         self.open.append((tag, block))
-        self.links += tag == "a"
-        self.silent += tag in _SILENT
+        self.places[tag].append(place)
+        if tag in BLOCKS:
+            self.blocks.append(place)
+        if tag in _SILENT:
+            self.silent.append(place)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -133,18 +150,16 @@ class _Builder(HTMLParser):
             self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i][0]
-            if name == tag:
-                self._pop(i)
-                return
-            if name in BLOCKS and tag not in BLOCKS or name in _SCOPE.get(tag, ()):
-                return  # an inline element doesn't end beyond its block
+        at = self._place((tag,))
+        # An inline element doesn't end beyond its block. The root stays open.
+        border = self._place(_SCOPE.get(tag, ())) if tag in BLOCKS else self.blocks[-1]
+        if at > max(border, 0):
+            self._pop(at)
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.buffer.append(data)
-            if self.links:
+            if self.places["a"]:
                 self.counts[self.open[-1][1]][0] += len(data)
 
 

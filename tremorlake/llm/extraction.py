@@ -64,8 +64,8 @@ class Model(NamedTuple):
         message = np.zeros((n, 2))  # to the parent
         for level in forest.levels[:0:-1]:
             message[level] = np.logaddexp(edge[level, :, 0] + up[level, None, 0], edge[level, :, 1] + up[level, None, 1])
-            for state in (0, 1):
-                up[:, state] += np.bincount(forest.parent[level], message[level, state], n)
+            # Only the parents are touched, so a page of very many levels takes no longer than a flat one.
+            np.add.at(up, forest.parent[level], message[level])
         down = np.zeros((n, 2))  # from the parent
         joint = np.zeros((n, 2, 2))
         for level in forest.levels[1:]:
