@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +198,20 @@ def test_odd_pages(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("html", ["<article>" + "<b>x " * 100_000, "<b>" * 20_000 + "<p>x</p>" * 5_000, "<b>" * 20_000 + "<svg><p>" * 10_000,
+                                  "<section>" * 5_000 + "</div>" * 100_000, "<li><section>" * 5_000 + "</li>" * 50_000])
+def test_unclosed_tags_take_linear_time(html):
+    start = time.process_time()
+    parse(html)
+    assert time.process_time() - start < 5
+
+
+def test_formulas_and_fallback_text_stay():
+    html = f"""<body><nav><a href=/>Home</a></nav><article><p>{PROSE} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p>
+<p>{PROSE} <object data=o>A picture of the river.</object> <video src=v>Read the text instead.</video></p></article></body>"""
+    assert extraction.texts_of([parse(html)], extraction.default_model()) == [f"{PROSE} x=2\n{PROSE} A picture of the river. Read the text instead."]
+
+
 def test_given_pages(spark):
     """Every given page has its main text in one article element without boxes of other kinds."""
     rows = extraction.extract(spark.read.parquet(f"{SF_DIR}/pages.parquet")).collect()
@@ -230,6 +246,36 @@ def test_recall(spark):
     assert all(score[r.query_id, r.vec_id] == pytest.approx(r.score, abs=1e-12) for r in found.itertuples() if (r.query_id, r.vec_id) in score)
 
 
+def test_recall_in_many_parts(spark, tmp_path):
+    """The query's own parameters, on a table of 49 parts of uneven clusters."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(300, 32))
+    x = centre[np.minimum(rng.geometric(0.02, 50_000) - 1, 299)] + rng.normal(size=(50_000, 32)) * 0.6
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), tmp_path / "v.parquet")
+    vectors = spark.read.parquet(str(tmp_path / "v.parquet"))
+    found = partitions.nearest(vectors, F.col("vec_id") % 20 == 0).toPandas()
+    assert found.groupby("query_id").size().eq(20).all() and found.query_id.nunique() == 2500
+    asked = np.arange(0, len(x), 20)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    true = np.argpartition(-scores, 20, axis=1)[:, :20]
+    near = found.groupby("query_id").vec_id.apply(set)
+    recall = np.mean([len(near[q] & set(t)) / 20 for q, t in zip(asked, true.tolist())])
+    print("recall", recall)
+    assert recall >= 0.9
+
+
+def test_small_parts_are_not_the_end(spark):
+    """k is more than the probable parts hold, so the search goes on into others."""
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([rng.normal(c, 0.05, (100, 4)) for c in np.eye(4) * 5]))]
+    vectors = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    for k, expected in ((150, 150), (500, 399)):
+        found = partitions.nearest(vectors, F.col("vec_id") % 20 == 0, k=k, sample=400, part_rows=20, mass=0.1).groupBy("query_id").agg(
+            F.count_distinct("vec_id").alias("n"), F.max("rank").alias("last")).collect()
+        assert len(found) == 20 and {(r.n, r["last"]) for r in found} == {(expected, expected)}
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]),
             (9, [1.0, 2.0, 3.0]), (10, [-1.0, 0.5]), (None, [1.0, 1.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0])]

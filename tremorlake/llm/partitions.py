@@ -163,7 +163,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 819
     """One row per query and neighbour: query_id, rank, vec_id, score.
 
     The router is fitted on the ``sample`` vectors with the smallest hashes of their vec_ids; there are as many parts as
-    ``part_rows`` asks for, ``most_parts`` at most.
+    ``part_rows`` asks for, ``most_parts`` at most. A query goes to the parts that hold ``mass`` of its probability, and to further ones until
+    they hold k other rows, so it gets k neighbours wherever the table has them. Rows that share a vec_id are no candidates of each other.
     """
     rows = usable(vectors)
     schema = "query_id BIGINT, rank INT, vec_id BIGINT, score DOUBLE"
@@ -181,13 +182,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 819
             part, p = index.files.probabilities(unit).argmax(1), index.routes.probabilities(unit)
             order = np.argsort(-p, axis=1, kind="stable")
             before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
-            probes = [o[:m].tolist() if ask else [] for o, m, ask in zip(order, (before < mass).sum(axis=1), batch.column("asks").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(part, pa.int32()), pa.array(probes, pa.list_(pa.int32()))],
-                                             ["vec_id", "x", "part", "probes"])
+            probes = [o.tolist() if ask else [] for o, ask in zip(order, batch.column("asks").to_pylist())]
+            likely = (before < mass).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(part, pa.int32()), pa.array(probes, pa.list_(pa.int32())), pa.array(likely, pa.int32())],
+                                             ["vec_id", "x", "part", "probes", "likely"])
 
     filed = stored(rows.select("vec_id", "x", F.coalesce(is_query, F.lit(False)).alias("asks")).mapInArrow(
-        file, "vec_id BIGINT, x ARRAY<DOUBLE>, part INT, probes ARRAY<INT>"), "filed")
-    held = filed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("row_blocks"))
+        file, "vec_id BIGINT, x ARRAY<DOUBLE>, part INT, probes ARRAY<INT>, likely INT"), "filed")
+    counts = stored(filed.groupBy("part").agg(F.count("*").alias("rows")), "part-rows")
+    held = counts.select("part", F.ceil(F.col("rows") / block).cast("int").alias("row_blocks"))
+    rows_of = dict(counts.collect())  # at most most_parts numbers
+    sizes = F.array(*[F.lit(rows_of.get(i, 0)).cast("bigint") for i in range(n)])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def best(found: DataFrame) -> DataFrame:
@@ -212,7 +217,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 819
         pairs = dealt(sent, "query_blocks", "row_blocks").cogroup(dealt(filed.select("vec_id", "x", "part"), "row_blocks", "query_blocks"))
         return pairs.applyInPandas(search, "query_id BIGINT, vec_id BIGINT, score DOUBLE")
 
-    queries = filed.filter(F.size("probes") > 0)
+    def enough() -> Column:
+        """The number of parts, the most probable first, that hold k rows besides the query's own."""
+        none = F.struct(F.lit(0).cast("bigint").alias("rows"), F.lit(0).alias("parts"))
+        return F.aggregate("probes", none, lambda s, p: F.struct(
+            (s["rows"] + F.get(sizes, p)).alias("rows"), (s["parts"] + F.when(s["rows"] <= k, 1).otherwise(0)).alias("parts")), lambda s: s["parts"])
+
+    queries = filed.filter(F.size("probes") > 0).withColumn("probes", F.slice("probes", 1, F.greatest(F.col("likely"), enough())))
     nothing = F.lit(float("-inf"))
     first = stored(best(searched(queries.select("vec_id", "x", nothing.alias("floor"), F.get("probes", F.lit(0)).alias("part")))), "first-part")
     floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(nothing).alias("floor"))
