@@ -323,6 +323,14 @@ FROM snapshot s LEFT JOIN near n ON n.name = s.name GROUP BY s.name, s.descripti
 SELECT a.name, a.x, a.y, (SELECT string_agg(n.other, ',' ORDER BY n.rank) FROM new_near n WHERE n.name = a.name) AS closest,
   CASE WHEN EXISTS (SELECT 1 FROM touched t WHERE t.x = a.x AND t.y = a.y) THEN 1 ELSE 0 END::BIGINT AS recomputed
 FROM after a""",
+        "station_as_of": f"""{w}{STATION}, {CHANGES}, ends AS (SELECT coalesce(max(seq), 0) AS last FROM changes),
+asked AS (SELECT name, seq FROM changes UNION SELECT name, seq - 1 FROM changes UNION SELECT name, unnest([0, last // 2, last + 1]) FROM stations, ends),
+writes AS (SELECT name, seq, op, description, x, y FROM verdicts WHERE accepted UNION ALL SELECT name, -9, 'insert', description, x, y FROM stations),
+latest AS (SELECT a.name, a.seq, w.op IN ('insert', 'update') AS held, w.description, w.x, w.y FROM asked a
+  LEFT JOIN writes w ON w.name = a.name AND w.seq <= a.seq
+  QUALIFY row_number() OVER (PARTITION BY a.name, a.seq ORDER BY w.seq DESC NULLS LAST) = 1)
+SELECT name, seq, CASE WHEN held THEN 1 ELSE 0 END::BIGINT AS found, CASE WHEN held THEN description END AS description,
+  CASE WHEN held THEN x END AS x, CASE WHEN held THEN y END AS y FROM latest""",
         "station_rejections": f"""{w}{STATION}, {CHANGES} SELECT seq, op, name, CASE WHEN op = 'insert' THEN 'exists' ELSE 'not found' END AS reason
 FROM verdicts WHERE NOT accepted""",
         "station_lookup": f"""{w}{STATION}, {CHANGES}, asked AS (SELECT DISTINCT name FROM changes)
@@ -409,6 +417,7 @@ bounds AS (SELECT min(sent) AS low, (max(sent) - min(sent)) // greatest({MIN_SLI
 sliced AS (SELECT sent.*, (sent - low) // step AS slice FROM sent, bounds),
 newest AS (SELECT slice, max(max(t_us)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest_us FROM sliced GROUP BY slice)
 SELECT station, channel, t_us, data, CASE WHEN tick <= (newest_us - {LATE_US}) // 1000000 THEN 'late' ELSE 'frame' END AS kind FROM sliced JOIN newest USING (slice)""",
+        "sample_compact": f"{w}{HOURLY} SELECT station, channel, t_us, data, ingest_seq FROM hourly",
         "stream_upsert": f"{w}{HOURLY} SELECT station, channel, t_us, data, ingest_seq FROM hourly",
         "stream_replay": f"""{w}{SAMPLES}, ticks AS (SELECT unnest(range({START_US // 1_000_000}, (SELECT max(tick) + 1 FROM samples))) AS tick)
 SELECT k.tick, count(s.tick) AS n_rows, count(DISTINCT s.station || s.channel) AS n_channels

@@ -14,11 +14,12 @@ from ..functions.messages import decode_json
 from ..functions.numbers import scale_amplitudes
 from ..functions.text import array_to_text, text_to_array
 from ..functions.times import SECOND_US, micros, snap_micros, tick_of
-from ..operators import alerts, align, frames, neighbours, picks, quality, refresh, signal
+from ..operators import alerts, align, frames, history, neighbours, picks, quality, refresh, signal
 from ..operators import stations as station_ops
 from ..schemas import CHANNELS, STATIONS
 from ..session import shared_path, ship_package, stored
-from ..sources import documents, messages, splits, waveform
+from ..sources import compact, documents, messages, splits, waveform
+from ..sources import history as history_store
 from ..sources import samples as sample_store
 from ..sources import stations as station_table
 from ..streaming import alerts as stream_alerts
@@ -285,6 +286,20 @@ def station_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("name", "x", "y", F.array_join("closest_stations", ",").alias("closest"), F.col("recomputed").cast("bigint").alias("recomputed"))
 
 
+@query
+def station_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the station table held about names at certain changes, from a history that two change sets were published to."""
+    path, known, changes = shared_path(spark, "station-history"), views.stations(spark, sf_dir), views.station_changes(spark, sf_dir)
+    last = changes.agg(F.max("seq")).first()[0] or 0
+    history_store.publish(history.begin(known), path, 0)
+    for version, part in enumerate((F.col("seq") <= last // 2, F.col("seq") > last // 2), 1):
+        history_store.publish(history.extended(history_store.read_history(spark, path), changes.where(part)), path, version)
+    asked = changes.select("name", F.explode(F.array("seq", F.col("seq") - 1)).alias("seq"))
+    asked = asked.unionByName(known.select("name", F.explode(F.array(*[F.lit(s).cast("bigint") for s in (0, last // 2, last + 1)])).alias("seq")))
+    found = history.as_of(history_store.read_history(spark, path), asked)
+    return found.select("name", "seq", F.col("found").cast("int").cast("bigint").alias("found"), "description", "x", "y")
+
+
 @query
 def station_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = station_ops.judge_changes(views.stations(spark, sf_dir), views.station_changes(spark, sf_dir), seq_block=64)
@@ -558,6 +573,21 @@ def _bounded_table(spark: SparkSession, sf_dir: str, **bounds: datetime) -> Data
     return read.select("station", "channel", us(), "data", "ingest_seq")
 
 
+COMPACT_APPENDS = 3
+
+
+@query
+def sample_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours written again by several appends and compacted twice on the way, the last append not yet."""
+    rows = views.timed_samples(spark, sf_dir).withColumn("t", F.date_trunc("hour", "t"))
+    path = shared_path(spark, "samples-log")
+    for turn in range(COMPACT_APPENDS):
+        compact.append_version(rows.where(F.col("ingest_seq") % COMPACT_APPENDS == turn), path, 2 * turn)
+        if turn < COMPACT_APPENDS - 1:
+            compact.compact(spark, path, 2 * turn + 1)
+    return compact.read_versions(spark, path).select("station", "channel", us(), "data", "ingest_seq")
+
+
 # Streams
 
 

@@ -2,6 +2,9 @@
 
 STATION = "name STRING, description STRING, x DOUBLE, y DOUBLE, closest_stations ARRAY<STRING>"
 
+# What the station table held about a name from one change up to another.
+STATION_STATE = "name STRING, description STRING, x DOUBLE, y DOUBLE, valid_from BIGINT, valid_to BIGINT"
+
 STATION_CHANGE = "seq BIGINT, op STRING, name STRING, description STRING, x DOUBLE, y DOUBLE"
 
 TRACE = (
