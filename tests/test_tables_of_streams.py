@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from test_streaming import SAMPLE, START, rows_of, write_in_order
 from tremorlake.operators.frames import last_write, replay
 from tremorlake.sources import samples as store
 from tremorlake.streaming import alerts, consume, late
-from tremorlake.streaming.replay import Replay
+from tremorlake.streaming.replay import Replay, ticks_a_batch
 from tremorlake.streaming.runs import run_to_table
 
 DELAY_US = 2_000_000
@@ -168,6 +169,24 @@ def test_replay_goes_on_where_it_ended(spark, tmp_path):
     assert [n for _, n, _ in want].count(0) >= 4
 
 
+def test_a_replay_has_no_more_batches_than_its_rows_ask_for():
+    assert ticks_a_batch(445, 100_000, 32) == 32  # as many as before where that makes few micro-batches
+    assert ticks_a_batch(26_667, 6_000_000, 32) == 1667  # 16 instead of 834
+    assert ticks_a_batch(2_666_667, 600_000_000, 32) == 4660  # 2^20 samples
+    assert ticks_a_batch(1, 0) == 1 and ticks_a_batch(100, 10**9, 4) == 4
+
+
+def test_files_of_the_sample_table_are_in_order_of_time(spark, tmp_path):
+    rows = rows_of(range(300)) + rows_of(range(300), station="B")
+    random.Random(2).shuffle(rows)
+    store.write_samples(spark.createDataFrame(rows, SAMPLE).repartition(5), str(tmp_path))
+    files = list(tmp_path.rglob("*.parquet"))
+    assert len(files) >= 2
+    for f in files:
+        at = pq.ParquetFile(f).read(columns=["t"])["t"].to_pylist()
+        assert at == sorted(at)
+
+
 def test_metrics_of_a_write(spark, tmp_path):
     seen = Observation("write")
     store.write_samples(spark.createDataFrame(rows_of(range(50)), SAMPLE), str(tmp_path / "samples"), seen)

@@ -667,9 +667,11 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "stream-replay")
     rows = views.samples(spark, sf_dir)
     sample_store.write_samples(rows.select("station", "channel", "t", "data", "ingest_seq"), f"{path}/samples")
-    stop = rows.agg(F.max(tick_of(F.col("t")))).first()[0]
+    stop, n = rows.agg(F.max(tick_of(F.col("t"))), F.count("*")).first()
     start = views.START_US // SECOND_US
-    return stream_replays.Replay(spark, f"{path}/samples", path, start, stop or start, REPLAY_TICKS).run()
+    stop = stop or start
+    ticks = stream_replays.ticks_a_batch(stop - start + 1, n, REPLAY_TICKS)
+    return stream_replays.Replay(spark, f"{path}/samples", path, start, stop, ticks).run()
 
 
 @query

@@ -26,14 +26,15 @@ def _dated(samples: DataFrame) -> DataFrame:
 def write_samples(samples: DataFrame, path: str, metrics: Observation | None = None) -> None:
     """Append sample rows (station, channel, t, data, ingest_seq).
 
-    The rebalance hint lets adaptive execution cut a hot station's partition into several files and join small ones. ``metrics``
+    The rebalance hint lets adaptive execution cut a hot station's partition into several files and join small ones. Files are
+    in order of time, so that a range reads the pages of its time only. ``metrics``
     gets n_samples, first_us and last_us of what was written, counted by the write itself.
     """
     rows = _dated(samples)
     if metrics is not None:
         at = F.unix_micros("t")
         rows = rows.observe(metrics, F.count("*").alias("n_samples"), F.min(at).alias("first_us"), F.max(at).alias("last_us"))
-    rows.hint("rebalance", "date", "station").write.mode("append").partitionBy("date", "station").parquet(path)
+    rows.hint("rebalance", "date", "station").sortWithinPartitions("date", "station", "t").write.mode("append").partitionBy("date", "station").parquet(path)
 
 
 def read_samples(spark: SparkSession, path: str, start: datetime | None = None, stop: datetime | None = None,

@@ -24,6 +24,18 @@ def replay_clock(spark: SparkSession, start_tick: int, ticks_per_batch: int = 1)
     return clock.select((F.col("value") + start_tick).alias("tick"))
 
 
+#: Of a replay as fast as it goes: micro-batches from which on these become larger, and samples that one holds at most.
+MANY_BATCHES, BATCH_ROWS = 16, 1 << 20
+
+
+def ticks_a_batch(ticks: int, n_rows: int, least: int = 1) -> int:
+    """Ticks that a micro-batch takes, so that the number of micro-batches grows with the samples and not with the seconds.
+
+    ``least`` as long as that makes few micro-batches; then more ticks, up to those of about ``BATCH_ROWS`` samples.
+    """
+    return max(least, min(-(-ticks // MANY_BATCHES), ticks * BATCH_ROWS // max(n_rows, 1)))
+
+
 def _instant(tick: int) -> datetime:
     return datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=tick)
 
