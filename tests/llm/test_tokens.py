@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import unicodedata
 import zlib
+from unittest import mock
 
 import numpy as np
 import public_tokenizers
@@ -109,6 +110,25 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id BIGINT, text STRING, piece STRING")  # a column of a clashing name
 
 
+def test_memory_goes_back_behind_each_step(monkeypatch):
+    """A worker that gives memory back only behind its last row grows with each step."""
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, cut, schema):
+            return cut
+
+    events = []
+    monkeypatch.setattr(packing, "F", mock.MagicMock())
+    monkeypatch.setattr(packing, "STEP_BYTES", 10)
+    monkeypatch.setattr(packing, "give_back", lambda: events.append("back"))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["some words", "and more", None])], ["doc_id", "text"])
+    for out in packing.token_pieces(Docs(), 64, BYTE, 0)(iter([batch])):
+        events.append(out.column("doc_id").to_pylist())
+    assert events == [[1], "back", [2, 3], "back"]
+
+
 def test_packing(spark, docs):
     rows = packing.pack(packing.token_pieces(docs, 64, BYTE, 0), 64, docs.count(), docs_per_group=8).toPandas()
     wanted = {}

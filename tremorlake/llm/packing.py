@@ -38,30 +38,35 @@ def first_length(tokens: int, capacity: int) -> int:
     return tokens if tokens <= capacity else (tokens % capacity or capacity)
 
 
+def _cut_batch(batch: pa.RecordBatch, encoder: PieceEncoder, capacity: int, end_id: int, with_ids: bool) -> pa.RecordBatch:
+    ids, borders = encoder.encode(batch.column("text"), end_id)
+    raw = ids.astype("<u4", copy=False)
+    lengths = np.diff(borders)
+    first = np.where(lengths <= capacity, lengths, (lengths - 1) % capacity + 1)
+    counts = 1 + (lengths - first) // capacity
+    row = np.repeat(np.arange(len(lengths)), counts)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
+    length = np.where(piece == 0, first[row], capacity)
+    at = borders[:-1][row] + start
+    crc = [zlib.crc32(raw[a:a + n]) for a, n in zip(at.tolist(), length.tolist())]
+    columns = [batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+               pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    if with_ids:
+        columns.append(pa.array([raw[a:a + n] for a, n in zip(at.tolist(), length.tolist())], pa.list_(pa.int32())))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
 def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for batch in steps(batches, "text", STEP_BYTES):
-            ids, borders = encoder.encode(batch.column("text"), end_id)
-            raw = ids.astype("<u4", copy=False)
-            lengths = np.diff(borders)
-            first = np.where(lengths <= capacity, lengths, (lengths - 1) % capacity + 1)
-            counts = 1 + (lengths - first) // capacity
-            row = np.repeat(np.arange(len(lengths)), counts)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
-            length = np.where(piece == 0, first[row], capacity)
-            at = borders[:-1][row] + start
-            crc = [zlib.crc32(raw[a:a + n]) for a, n in zip(at.tolist(), length.tolist())]
-            columns = [batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                       pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                columns.append(pa.array([raw[a:a + n] for a, n in zip(at.tolist(), length.tolist())], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield _cut_batch(batch, encoder, capacity, end_id, with_ids)
+            give_back()  # else a worker grows by some 10 MB with each step
 
     schema = _PIECE + (", ids ARRAY<INT>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
