@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from tremorlake.llm import jaccard
@@ -55,6 +56,34 @@ def test_all_pairs(spark, options):
     assert found == brute(rows)
 
 
+def test_sketches_rule_out_no_similar_pair():
+    rnd = np.random.default_rng(3)
+    sets = []
+    for n in (1, 2, 5, 40, 300, 3000):
+        base = rnd.integers(0, 2**32, n, dtype=np.uint32)
+        for share in (0, 0.05, 0.1, 0.15, 0.3, 0.6):
+            other = np.where(rnd.random(n) < share, rnd.integers(0, 2**32, n, dtype=np.uint32), base)
+            sets.append(np.unique(np.concatenate([other, rnd.integers(0, 2**32, rnd.integers(0, n // 8 + 1), dtype=np.uint32)])))
+    every = np.arange(len(sets))
+    sizes = np.array([len(s) for s in sets])
+    bits = np.frombuffer(b"".join(map(jaccard.sketch, sets)), np.uint8).reshape(len(sets), -1)
+    near = jaccard.similar(sets, every, every, 0.8)
+    may = jaccard.possible(sizes, bits, every, every, 0.8)
+    assert not (near & ~may).any() and near.sum() > len(sets)
+    assert may.sum() < 2 * near.sum()  # most others are ruled out
+
+
+def test_token_sets_are_shuffled_only_where_sketches_allow_a_link(spark, monkeypatch):
+    """Texts that share just over half of their shingles meet in many buckets; none of their sets is compared there."""
+    passage = " ".join(f"p{i}" for i in range(200))
+    rows = [(i, f"{passage} " + " ".join(f"w{i}x{j}" for j in range(90))) for i in range(60)]
+    met, compared = [], jaccard._links_between
+    monkeypatch.setattr(jaccard, "_links_between", lambda members, similarity: (met.append(members.count()), compared(members, similarity))[1])
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert sorted(map(tuple, found)) == [(i, i, 0, 1) for i in range(60)]
+    assert met and sum(met) == 0
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = spark.createDataFrame([(None, text), (7, text), (7, text), (None, None)], "doc_id BIGINT, text STRING")

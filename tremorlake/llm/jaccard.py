@@ -15,7 +15,10 @@ the depth alone; there are as many runs as ``recall`` asks for.
    returns a tree that connects what it found, not the pairs.
 4. Inside each component all pairs are compared, in pairs of blocks, to count the links.
 
-No pair of copies and no list of a group is ever emitted. Comparisons count common shingles exactly (by 32-bit hashes).
+No pair of copies and no list of a group is ever emitted. Comparisons count common shingles exactly (by 32-bit hashes). In front of them
+stands a bound that never errs: sets differ in at least as many shingles as their parity bits do, so pairs that cannot reach
+``similarity`` by their sizes and 1,024 bits are left out before any set is shuffled, and only sets that a filter of the wanted
+ones lets through are.
 
 Nulls: a null or empty text has no shingles and no links, and a class of its own with other such texts' rows being no copies of it.
 A text of one to four words is one shingle. A null doc_id stays null. Repeated rows are copies. Empty tables give no rows; other
@@ -38,9 +41,12 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .common import WORD, give_back, steps, text_or_empty
 from .components import components
+from .urls import ENTRIES_PER_BLOCK, MOST_BLOCKS, bloom_blocks, possible_hits
 
 STEP_BYTES = 1 << 20
 _DEEPER = 2  # levels that a further split adds
+_BITS = 1024  # of a set's parity sketch, a power of two
+_CHUNK = 2048  # rows of small groups that are searched at a time
 _LARGE = 512  # rows of a group behind which memory is given back
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _DRAW = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -158,6 +164,54 @@ def _deeper(members: DataFrame, similarity: float, levels: int = _DEEPER) -> Dat
     return members.select("v", "node", "tokens").mapInArrow(split, "v BINARY, node BIGINT").distinct()
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each of the ranges that the hashes fall into, whether the set holds an odd number of its tokens."""
+    place = tokens >> np.uint32(32 - (_BITS.bit_length() - 1))
+    return np.packbits(np.bincount(place, minlength=_BITS) & 1).tobytes()
+
+
+def _bits(column: list[bytes] | pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, _BITS // 8)
+
+
+def _within(sizes_a: np.ndarray, sizes_b: np.ndarray, differing: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes with so many differing bits may be similar: at least so many tokens are in one of the two only."""
+    common = np.minimum(np.minimum(sizes_a, sizes_b), (sizes_a + sizes_b - differing) // 2)
+    return common >= similarity * (sizes_a + sizes_b - common)
+
+
+def _sketches(tokens: DataFrame) -> DataFrame:
+    """(v, size, bits) of the sets."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(t, "<u4") for t in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())],
+                                             ["v", "size", "bits"])
+
+    return tokens.select("v", "tokens").mapInArrow(draw, "v BINARY, size BIGINT, bits BINARY")
+
+
+def _possible_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(f"size_{x}").to_numpy(zero_copy_only=False) for x in "ab"]
+            differing = np.bitwise_count(np.bitwise_xor(*(_bits(batch.column(f"bits_{x}").to_pylist()) for x in "ab"))).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(_within(*sizes, differing, similarity)))
+
+    side_a, side_b = (sketches.select(F.col("v").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    return pairs.join(side_a, "a").join(side_b, "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(check, "a BINARY, b BINARY")
+
+
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose v a filter of bounded size, made of those of ``wanted``, may hold: all that are wanted and few others."""
+    n_blocks = min(MOST_BLOCKS, max(1, wanted.count() // ENTRIES_PER_BLOCK))
+    blocks = bloom_blocks(wanted.select(F.col("v").alias("entry")), n_blocks)
+    return possible_hits(rows.withColumn("entry", F.col("v")), blocks, n_blocks).drop("entry")
+
+
 def _similar_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
     """The rows (a, b) of (a, b, tokens_a, tokens_b) whose sets are similar."""
 
@@ -217,7 +271,7 @@ def _in_blocks(members: DataFrame, by: str, size: Column, block: int) -> DataFra
     n = F.greatest(F.lit(1), F.ceil(size / F.lit(block))).cast("int")
     own = members.withColumn("blocks", n).withColumn("mine", F.pmod(F.xxhash64("v", F.lit("block")), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return own.select("*", other).select(by, "v", "label", "copies", "mine", F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"))
+    return own.select("*", other).select(by, "v", "label", "copies", "n", "mine", F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"))
 
 
 def _sides(rows: pd.DataFrame, key: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +297,43 @@ def _links_between(members: DataFrame, similarity: float) -> DataFrame:
     return members.groupBy("node", "first", "second").applyInPandas(search, "a BINARY, b BINARY")
 
 
+def possible(sizes: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets ``left`` x ``right`` may be similar, as their sketches tell."""
+    out = np.empty((len(left), len(right)), bool)
+    other = np.unpackbits(bits[right], axis=1).astype(np.float32).T * 2 - 1
+    for row in range(0, len(left), 512):
+        part = left[row:row + 512]
+        signs = np.unpackbits(bits[part], axis=1).astype(np.float32) * 2 - 1
+        differing = ((_BITS - signs @ other) / 2).astype(np.int64)
+        out[row:row + 512] = _within(sizes[part][:, None], sizes[right][None, :], differing, similarity)
+    return out
+
+
+def _possible_members(members: DataFrame, similarity: float, rows_at_least: int) -> DataFrame:
+    """The members of a group that may be similar to one of another component, by their sketches. Small groups are searched many at a time."""
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        names = ["node", "first", "second"]
+        rows = rows.sort_values(names, ignore_index=True)
+        keys, mine, sizes, bits = rows[names].to_numpy(), rows["mine"].to_numpy(), rows["size"].to_numpy(), _bits(rows["bits"])
+        codes = pd.factorize(rows["label"])[0]
+        borders = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+        kept = []
+        for a, b in zip([0, *borders], [*borders, len(rows)]):
+            left, right = a + np.flatnonzero(mine[a:b] == keys[a, 1]), a + np.flatnonzero(mine[a:b] == keys[a, 2])
+            near = possible(sizes, bits, left, right, similarity)
+            near &= codes[left][:, None] != codes[right][None, :]
+            kept.append(np.union1d(left[near.any(axis=1)], right[near.any(axis=0)]))
+        if len(rows) > _LARGE:
+            give_back()
+        return rows.iloc[np.concatenate(kept)][["node", "v", "label", "mine", "first", "second"]]
+
+    chunks = max(1, rows_at_least // _CHUNK)
+    chunk = F.when(F.col("n") > _LARGE // 4, F.xxhash64("node", "first", "second")).otherwise(F.pmod(F.xxhash64("node"), F.lit(chunks)))
+    kind = "node BIGINT, v BINARY, label BINARY, mine INT, first INT, second INT"
+    return members.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(search, kind)
+
+
 def _link_counts(members: DataFrame, similarity: float) -> DataFrame:
     """For each vertex, the documents of other vertices of its component that are similar to it."""
 
@@ -276,20 +367,25 @@ def _linked(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: fl
     # Most leaves hold one set only. Until those are gone, sets have short numbers, fixed by the written table.
     leaves = vertices.select("number", F.explode("nodes").alias("node"))
 
-    def buckets(rows: DataFrame, member: str) -> DataFrame:
-        return rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(member)).alias("members")).filter("n > 1")
+    def several(rows: DataFrame, member: str) -> DataFrame:
+        """The rows of nodes with several, and of each its node's number of rows and a sign of its members; shuffled once."""
+        here = Window.partitionBy("node")
+        return rows.select("*", F.count("*").over(here).alias("n"), F.bit_xor(F.xxhash64(member)).over(here).alias("members")).filter("n > 1")
 
-    several_sets = leaves.join(buckets(leaves, "number"), "node")
+    several_sets = several(leaves, "number")
     shared = stored(several_sets.join(vertices.select("number", "v"), "number").drop("number"), "shared")
     company = stored(shared.groupBy("v").agg(F.sum(F.log2("n")).alias("company")), "company")
 
-    one_row = signed.filter("v IS NOT NULL").select("v", "tokens").join(company.select("v"), "v", "left_semi")
+    # Not a semi-join, which Spark would move in front of the filter.
+    one_row = _among(signed.filter("v IS NOT NULL").select("v", "tokens"), company).join(company.select("v"), "v")
     tokens = stored(one_row.groupBy("v").agg(F.first("tokens").alias("tokens")), "tokens")
-    tokens_a, tokens_b = (tokens.select(F.col("v").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    sketches = stored(_sketches(tokens), "sketches")
 
     def checked(pairs: DataFrame) -> DataFrame:
         # Written first: Spark then knows how few they are, and shuffles no token sets to them where it can send the pairs around.
-        return _similar_pairs(stored(pairs, "pairs").join(tokens_a, "a").join(tokens_b, "b"), similarity)
+        left = stored(_possible_pairs(stored(pairs, "pairs"), sketches, similarity), "pairs")
+        tokens_a, tokens_b = (_among(tokens, left.select(F.col(x).alias("v"))).select(F.col("v").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+        return _similar_pairs(left.join(tokens_a, "a").join(tokens_b, "b"), similarity)
 
     def one_partner(rows: DataFrame, weight: Column) -> DataFrame:
         """Pairs (a, b): every bucket offers its member of most weight, every vertex takes what is offered to it most often."""
@@ -306,8 +402,8 @@ def _linked(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: fl
     def unresolved(rows: DataFrame) -> DataFrame:
         """Members (node, n, members, v, label) of the buckets that hold several components."""
         with_label = rows.join(labels, "v")
-        several = with_label.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-        return stored(with_label.join(several.select("node"), "node", "left_semi"), "unresolved")
+        mixed_nodes = with_label.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+        return stored(with_label.join(mixed_nodes.select("node"), "node", "left_semi"), "unresolved")
 
     def once(rows: DataFrame) -> DataFrame:
         """One bucket of each set of members; only for those that are searched, as splitting needs every run."""
@@ -327,17 +423,18 @@ def _linked(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: fl
         if large.isEmpty():
             break
         searched.append(once(open_buckets.filter(F.col("n") <= bucket)))
-        deeper = stored(_deeper(large.select("v", "node").join(tokens, "v"), similarity), "deeper")
-        open_buckets = unresolved(deeper.join(buckets(deeper, "v"), "node"))
+        large = large.select("v", "node")
+        deeper = stored(_deeper(large.join(_among(tokens, large), "v"), similarity), "deeper")
+        open_buckets = unresolved(several(deeper, "v"))
     searched.append(once(open_buckets))
-    more = [_links_between(_in_blocks(s, "node", F.col("n"), block).join(tokens, "v"), similarity) for s in searched]
-    for m in more:
-        edges = edges.union(m)
+    for s in searched:
+        found = stored(_possible_members(_in_blocks(s, "node", F.col("n"), block).join(sketches, "v"), similarity, s.count()), "possible")
+        edges = edges.union(_links_between(found.join(_among(tokens, found), "v"), similarity))
     labels = stored(_labelled(company, components(stored(edges, "edges"))), "labels")
 
     sizes = labels.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
     grouped = labels.join(sizes, "label").join(vertices.select("v", "copies"), "v")
-    links = _link_counts(_in_blocks(grouped, "label", F.col("n"), block).join(tokens, "v"), similarity)
+    links = _link_counts(_in_blocks(grouped, "label", F.col("n"), block).join(_among(tokens, grouped), "v"), similarity)
     linked = vertices.drop("nodes", "number").join(labels, "v", "left").join(links, "v", "left").select(
         "v", "first_id", "copies", F.coalesce("label", "v").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     return signed, stored(linked, "linked")
