@@ -84,6 +84,22 @@ def test_token_sets_are_shuffled_only_where_sketches_allow_a_link(spark, monkeyp
     assert met and sum(met) == 0
 
 
+def test_token_sets_are_written_only_where_texts_meet(spark, monkeypatch):
+    """Forty texts that share no shingle with another, one of them twice, and two near copies: only the sets of those two are written."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(80)) for i in range(41)]
+    rows = list(enumerate([*texts, f"{texts[40]} end", texts[7].replace(" ", "  ")]))
+    written, store = [], jaccard.stored
+
+    def stored(df, label):
+        written.append(store(df, label))
+        return written[-1]
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    found = sorted(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect())
+    assert found == brute(rows)
+    assert sum(t.count() for t in written if "tokens" in t.columns) == 2
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = spark.createDataFrame([(None, text), (7, text), (7, text), (None, None)], "doc_id BIGINT, text STRING")

@@ -18,7 +18,8 @@ the depth alone; there are as many runs as ``recall`` asks for.
 No pair of copies and no list of a group is ever emitted. Comparisons count common shingles exactly (by 32-bit hashes). In front of them
 stands a bound that never errs: sets differ in at least as many shingles as their parity bits do, so pairs that cannot reach
 ``similarity`` by their sizes and 1,024 bits are left out before any set is shuffled, and only sets that a filter of the wanted
-ones lets through are.
+ones lets through are. Sets are written only where they share a bucket with another: they are made a second time for those, from
+the texts, so the texts are read twice and must be the same both times.
 
 Nulls: a null or empty text has no shingles and no links, and a class of its own with other such texts' rows being no copies of it.
 A text of one to four words is one shingle. A null doc_id stays null. Repeated rows are copies. Empty tables give no rows; other
@@ -126,28 +127,51 @@ def runs_for(recall: float, levels: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(levels)))
 
 
+def _named(own: np.ndarray) -> bytes:
+    """The 128-bit name of a set of shingles."""
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(text_or_empty())
+
+
 def _signatures(docs: DataFrame, words: int, similarity: float, depth: int, runs: int) -> DataFrame:
-    """One row per document: doc_id, v (128-bit name of its set), tokens (sorted 32-bit hashes), nodes."""
+    """One row per document: doc_id, text_hash, v (128-bit name of its set), nodes."""
     roots = mixed(np.arange(1, runs + 1, dtype=np.uint64) * _C)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP_BYTES):
             h, borders = shingle_sets(batch.column("text"), words)
-            names, tokens, nodes, known = [], [], [], {}
+            names, nodes, known = [], [], {}
             for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
                 if a == b:
-                    names.append(None), tokens.append(None), nodes.append(None)
+                    names.append(None), nodes.append(None)
                     continue
-                own = h[a:b]
-                name = xxhash.xxh3_128_digest(own.tobytes())
+                name = _named(h[a:b])
                 if name not in known:
-                    known[name] = (np.unique((own >> np.uint64(32)).astype("<u4")).tobytes(), descend(own, roots, depth, similarity).astype(np.int64))
-                names.append(name), tokens.append(known[name][0]), nodes.append(known[name][1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(tokens, pa.binary()),
-                                              pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "v", "tokens", "nodes"])
+                    known[name] = descend(h[a:b], roots, depth, similarity).astype(np.int64)
+                names.append(name), nodes.append(known[name])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(names, pa.binary()),
+                                              pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "text_hash", "v", "nodes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(sign, f"doc_id {kind}, v BINARY, tokens BINARY, nodes ARRAY<BIGINT>")
+    texts = docs.select("doc_id", _text_hash().alias("text_hash"), text_or_empty().alias("text"))
+    return texts.mapInArrow(sign, f"doc_id {kind}, text_hash BIGINT, v BINARY, nodes ARRAY<BIGINT>")
+
+
+def _token_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(v, tokens: sorted 32-bit hashes) of the texts whose text_hash a filter of the ``wanted`` ones may hold; a set may come several times."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text", STEP_BYTES):
+            h, borders = shingle_sets(batch.column("text"), words)
+            sets = {_named(h[a:b]): h[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()) if a < b}
+            tokens = [np.unique((own >> np.uint64(32)).astype("<u4")).tobytes() for own in sets.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array(tokens, pa.binary())], ["v", "tokens"])
+
+    texts = docs.select(_text_hash().alias("text_hash"), text_or_empty().alias("text"))
+    return _among(texts, wanted, "text_hash").select("text").mapInArrow(make, "v BINARY, tokens BINARY")
 
 
 def _deeper(members: DataFrame, similarity: float, levels: int = _DEEPER) -> DataFrame:
@@ -205,11 +229,11 @@ def _possible_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) ->
     return pairs.join(side_a, "a").join(side_b, "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(check, "a BINARY, b BINARY")
 
 
-def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose v a filter of bounded size, made of those of ``wanted``, may hold: all that are wanted and few others."""
+def _among(rows: DataFrame, wanted: DataFrame, by: str = "v") -> DataFrame:
+    """The rows whose v (or ``by``) a filter of bounded size, made of those of ``wanted``, may hold: all that are wanted and few others."""
     n_blocks = min(MOST_BLOCKS, max(1, wanted.count() // ENTRIES_PER_BLOCK))
-    blocks = bloom_blocks(wanted.select(F.col("v").alias("entry")), n_blocks)
-    return possible_hits(rows.withColumn("entry", F.col("v")), blocks, n_blocks).drop("entry")
+    blocks = bloom_blocks(wanted.select(F.col(by).alias("entry")), n_blocks)
+    return possible_hits(rows.withColumn("entry", F.col(by)), blocks, n_blocks).drop("entry")
 
 
 def _similar_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -362,7 +386,7 @@ def _linked(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: fl
     runs = runs_for(recall, depth + _DEEPER * splits)
     signed = stored(_signatures(docs, words, similarity, depth, runs), "signatures")
     vertices = stored(signed.filter("v IS NOT NULL").groupBy("v").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("nodes").alias("nodes"))
+        F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("text_hash").alias("text_hash"), F.first("nodes").alias("nodes"))
         .withColumn("number", F.monotonically_increasing_id()), "vertices")
     # Most leaves hold one set only. Until those are gone, sets have short numbers, fixed by the written table.
     leaves = vertices.select("number", F.explode("nodes").alias("node"))
@@ -376,9 +400,10 @@ def _linked(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: fl
     shared = stored(several_sets.join(vertices.select("number", "v"), "number").drop("number"), "shared")
     company = stored(shared.groupBy("v").agg(F.sum(F.log2("n")).alias("company")), "company")
 
-    # Not a semi-join, which Spark would move in front of the filter.
-    one_row = _among(signed.filter("v IS NOT NULL").select("v", "tokens"), company).join(company.select("v"), "v")
-    tokens = stored(one_row.groupBy("v").agg(F.first("tokens").alias("tokens")), "tokens")
+    # Of the texts with the same set one is enough.
+    wanted = stored(vertices.select("v", "text_hash").join(company.select("v"), "v"), "wanted")
+    met_sets = _token_sets(docs, wanted, words).join(wanted.select("v"), "v")
+    tokens = stored(met_sets.groupBy("v").agg(F.first("tokens").alias("tokens")), "tokens")
     sketches = stored(_sketches(tokens), "sketches")
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -435,7 +460,7 @@ def _linked(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: fl
     sizes = labels.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
     grouped = labels.join(sizes, "label").join(vertices.select("v", "copies"), "v")
     links = _link_counts(_in_blocks(grouped, "label", F.col("n"), block).join(_among(tokens, grouped), "v"), similarity)
-    linked = vertices.drop("nodes", "number").join(labels, "v", "left").join(links, "v", "left").select(
+    linked = vertices.drop("nodes", "number", "text_hash").join(labels, "v", "left").join(links, "v", "left").select(
         "v", "first_id", "copies", F.coalesce("label", "v").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     return signed, stored(linked, "linked")
 
@@ -461,7 +486,7 @@ def set_name(texts: pa.Array, words: int) -> pa.Array:
     names = []
     for batch in steps([pa.RecordBatch.from_arrays([texts], ["text"])], "text", STEP_BYTES):
         h, borders = shingle_sets(batch.column("text"), words)
-        names += [xxhash.xxh3_128_digest(h[a:b].tobytes()) if b > a else None for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+        names += [_named(h[a:b]) if b > a else None for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
     return pa.array(names, pa.binary())
 
 
